@@ -88,24 +88,27 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def hash_words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of word bytes in a buffer, and a 64-bit hash of each run.
+def hash_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice data[start:end] of a byte buffer.
 
-    A prefix sum of byte codes times powers of an odd base gives the hash of any run as a difference, so the
-    whole buffer is hashed by a few vector operations. is_word must be False between any two texts.
+    A prefix sum of byte codes times powers of an odd base gives the hash of any slice as a difference, so a whole
+    buffer is hashed by a few vector operations.
     """
     n = len(data)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return start, np.empty(0, np.uint64)
     if len(_pow[0]) < n + 1:
         size = max(n + 1, 1 << 20)
         _pow[0], _pow[1] = _powers(_STEP, size), _powers(_BACK, size)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _pow[0][:n], out=total[1:])
     h = (total[end] - total[start]) * _pow[1][start]
-    return start, mix(h ^ (end - start).astype(np.uint64))
+    return mix(h ^ (end - start).astype(np.uint64))
+
+
+def hash_words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of word bytes in a buffer, and a hash of each run. is_word must be False between any two texts."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    return start, hash_slices(data, start, end) if len(start) else np.empty(0, np.uint64)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -17,6 +17,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpuslens.llm.bpe import decode_ids, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    x = decode_ids(encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.decontam import decontaminate
 
@@ -33,5 +44,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(every).alias("spans"), score.alias("max_score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_decontaminate, op8_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_bpe, op4_decontaminate, op8_pii)}
 SQL: dict[str, str] = {}
