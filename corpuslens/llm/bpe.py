@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuslens.llm.common import hash_slices
+from corpuslens.llm.common import hash_slices, slices
 
 #: White space as the tokenizer's pattern means it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -65,18 +65,6 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-def _slices(sizes: np.ndarray, most: int):
-    """Runs of values with about so much in total; each has one value at least."""
-    lo = total = 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > lo and total + n > most:
-            yield lo, i
-            lo, total = i, 0
-        total += n
-    if len(sizes):
-        yield lo, len(sizes)
-
-
 def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
     """Arrow batches of (doc_id, tokens, odd), a chunk each, to packed rows: the chunk's distinct words by bucket of the
     word's hash (want 'words'), or its documents as places in the list of words (want 'docs')."""
@@ -106,7 +94,7 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[own[0]])], pa.int32()), "chunk": [chunk], "at": [own.tobytes()], "sizes": [sizes[own].astype(np.int32).tobytes()], "data": [_gather(data, offsets[own], sizes[own]).tobytes()]})
             else:
                 offsets = _offsets(per_doc)
-                for lo, hi in _slices(per_doc, 200_000):
+                for lo, hi in slices(per_doc, 200_000):
                     packed = pa.compress(at[offsets[lo] : offsets[hi]].tobytes(), "zstd", asbytes=True)
                     ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("doc_id").slice(lo, hi - lo).cast(id_type))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([True]), ids, pa.array([b""]), pa.array([per_doc[lo:hi].tobytes()]), pa.array([packed])], PACKED)

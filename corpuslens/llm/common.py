@@ -130,3 +130,15 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     keep[starts[1:] - 1] = False
     out[keep] = raw
     return out, starts
+
+
+def slices(sizes: np.ndarray, most: int):
+    """Runs of values with about so much in total; each has one value at least."""
+    lo = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if len(sizes):
+        yield lo, len(sizes)

@@ -35,6 +35,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.neardup import Link, near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), Link(k=3, per_cent=85))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.pii import KINDS, find_pii, span_list
 
@@ -44,5 +50,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(every).alias("spans"), score.alias("max_score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_bpe, op4_decontaminate, op8_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_bpe, op4_decontaminate, op7_minhash_near_dedup, op8_pii)}
 SQL: dict[str, str] = {}

@@ -71,3 +71,29 @@ def pii(text):
 
 def crc(data):
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def near_duplicates(documents, k=3, per_cent=85):
+    """doc -> (n_shingles, component) by an index of shingles and a plain union-find."""
+    sets = {}
+    for doc, text in documents:
+        w = [x.translate(ASCII_LOWER) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        sets[doc] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    index, root = {}, {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d in sorted(sets):
+        shared = {}
+        for g in sets[d]:
+            for o in index.get(g, ()):
+                shared[o] = shared.get(o, 0) + 1
+            index.setdefault(g, []).append(d)
+        for o, n in shared.items():
+            if 100 * n >= per_cent * (len(sets[d]) + len(sets[o]) - n):
+                a, b = sorted((find(d), find(o)))
+                root[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
