@@ -17,6 +17,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.media import feature, read_media, store_media
+
+    x = feature(read_media(store_media(_table(spark, sf_dir, "documents"))))
+    return x.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +57,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(every).alias("spans"), score.alias("max_score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_bpe, op4_decontaminate, op7_minhash_near_dedup, op8_pii)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.sharding import shuffle
+
+    text = F.coalesce("text", F.lit(""))
+    light = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    x = shuffle(light, shards=40)
+    return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_bpe, op4_decontaminate, op7_minhash_near_dedup, op8_pii, op9_sharding)}
 SQL: dict[str, str] = {}
