@@ -42,6 +42,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.toxicity import held_out, score_documents, train_on
+
+    docs = _table(spark, sf_dir, "documents")
+    x = score_documents(docs.select("doc_id", "text"), train_on(docs, _table(spark, sf_dir, "labels")))
+    return x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpuslens.llm.neardup import Link, near_duplicates
 
@@ -66,5 +74,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_bpe, op4_decontaminate, op7_minhash_near_dedup, op8_pii, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_bpe, op4_decontaminate, op6_toxicity, op7_minhash_near_dedup, op8_pii, op9_sharding)}
 SQL: dict[str, str] = {}
