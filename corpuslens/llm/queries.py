@@ -74,5 +74,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_bpe, op4_decontaminate, op6_toxicity, op7_minhash_near_dedup, op8_pii, op9_sharding)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.llm.html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_media_columns, op3_bpe, op4_decontaminate, op6_toxicity, op7_minhash_near_dedup, op8_pii, op9_sharding, op10_html_extraction)}
 SQL: dict[str, str] = {}
