@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Bytes of an Arrow batch, unless the session sets spark.sql.execution.arrow.maxBytesPerBatch itself. The default of Spark
+#: counts rows only, so that long texts would make batches of any size.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) == 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors and are read column by column."""
 
@@ -44,7 +55,7 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -96,7 +107,7 @@ def hash_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """
     n = len(data)
     if len(_pow[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         _pow[0], _pow[1] = _powers(_STEP, size), _powers(_BACK, size)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _pow[0][:n], out=total[1:])

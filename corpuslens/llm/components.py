@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(now)
         now = new
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == mark:
+        if after == mark or not after[0]:
             break
         mark = after
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -9,9 +9,9 @@ registers grows with the Jaccard similarity, so that bands of registers are buck
 2. Representatives that agree in a band share a bucket. In each bucket, all are paired with the smallest one.
 3. The similarity of a pair is estimated jointly from which registers are larger, smaller and equal, by maximum
    likelihood with the known set sizes; pairs clearly below the threshold go. The others are verified on full sets.
-4. Linked pairs are contracted to components. Whatever members of one bucket are still in different components is
-   then compared, all with all, block by block, by the same estimate and verification: no candidate is dropped, and
-   in a bucket of copies nothing is left to compare.
+4. Linked pairs are contracted to components. Members of one bucket that are still in different components are
+   compared, all with all, block by block, by the same estimate; clusters of components found close that way are
+   compared on full sets. No candidate is dropped, and in a bucket of copies nothing is left to compare.
 
 A pair at the threshold is missed by all bands with a probability of about 1e-6 (see BANDS).
 
@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import Scratch, hash_words, lower_ascii, mix, slices, text_buffer
+from corpuslens.llm.common import Scratch, bound_batches, hash_words, lower_ascii, mix, slices, text_buffer
 from corpuslens.llm.components import connected_components
 
 #: Sketch: base, rate and largest register value of 16-bit registers.
@@ -40,12 +40,16 @@ BASE, RATE, Q = 1.001, 20.0, 65534
 #: Bands of ROWS registers each. At similarity 0.8 all bands differ with probability (1 - 0.8**6)**42 = 3e-6, at 0.85 with 2e-9.
 ROWS, BANDS = 6, 42
 M = ROWS * BANDS
+#: Registers that are compared first; a pair is dropped if so few of them are equal as at the threshold happens once in 1e8.
+FIRST = 64
 #: An estimate's standard deviation is at most 0.032; pairs over 5 of them below the threshold go unverified.
 MARGIN = 5.0
 #: Documents of a bucket that are compared with each other in one block; edges that are verified against one text in one go.
 BLOCK, FAN = 256, 512
 #: Bytes of text that are hashed at a time (a longer text alone); hashing takes some 40 bytes for each.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Shingles of the documents of one block of a cluster; document ids (8 bytes each) that are broadcast at most.
+SHINGLES, IDS = 500_000, 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(71))
 _MUL = (_rng.integers(0, 1 << 63, M, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -208,6 +212,7 @@ def _verify_rows(link: Link):
 
 def _verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     """The pairs that are linked, verified on full sets. A text that has many partners is sent out once for FAN of them."""
+    texts = _some(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     count = pairs.groupBy("a").agg(F.count("*").alias("fan"))
     split = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)).alias("part"), "b")
     own = count.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("fan") / FAN) - 1)).alias("part"))
@@ -217,59 +222,147 @@ def _verified(pairs: DataFrame, texts: DataFrame, link: Link) -> DataFrame:
     return x.mapInArrow(_verify_rows(link), "a long, b long")
 
 
-def _across(least: float, link: Link):
-    """Rows sorted by (key, i, j), each block pair of a bucket: pairs of documents of different components with a high estimate."""
+def _groups(batches, key: list[str]):
+    """Lists of the rows (dicts) of equal key, from batches sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            k = tuple(row[c] for c in key)
+            if held and k != now:
+                yield held
+                held = []
+            now = k
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sides(rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The two blocks of a block pair (side 0 and 1), or one block twice (side 2)."""
+    if rows[0]["side"] == 2:
+        return rows, rows
+    return [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+
+
+def _near_pairs(first: list[dict], second: list[dict], least: float, link: Link):
+    """(place in first, places in second) of rows of different roots with a high estimate."""
+    if not first or not second:
+        return
+    ra, rb = (np.frombuffer(b"".join(r["regs"] for r in s), np.uint16).reshape(-1, M) for s in (first, second))
+    na, nb = (np.array([r["n"] for r in s], float) for s in (first, second))
+    qa, qb = (np.array([r["root"] for r in s], np.int64) for s in (first, second))
+    fa, fb = np.ascontiguousarray(ra[:, :FIRST]), np.ascontiguousarray(rb[:, :FIRST])
+    j = link.per_cent / 100
+    few = FIRST * j - (MARGIN + 0.5) * math.sqrt(FIRST * j * (1 - j))
+    for lo in range(0, len(first), 16):
+        part = slice(lo, lo + 16)
+        able = (np.minimum(na[part, None], nb) * 100 >= np.maximum(na[part, None], nb) * link.per_cent) & (qa[part, None] != qb)
+        if second is first:
+            able &= np.arange(len(second)) > np.arange(lo, min(lo + 16, len(first)))[:, None]
+        able &= np.count_nonzero(fa[part, None, :] == fb[None, :, :], axis=2) >= few
+        x, y = np.nonzero(able)
+        if len(x):
+            x += lo
+            good = estimate(ra[x], rb[y], na[x], nb[y]) >= least
+            yield from zip(x[good].tolist(), y[good].tolist())
+
+
+class _Forest:
+    """Which roots a block pair has joined so far, so that it returns no more links than it has roots."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _near_roots(least: float, link: Link):
+    """Rows of block pairs of buckets to pairs of components that have members with a high estimate: a forest per block pair."""
 
     def run(batches):
-        key, held = None, []
-
-        def flush():
-            rows = held
-            first = [r for r in rows if r["side"] != 1]  # side 0: block i; 1: block j; 2: both, when i = j
-            second = first if rows[0]["side"] == 2 else [r for r in rows if r["side"] == 1]
-            if not first or not second:
-                return None
-            regs, n, doc, root = ([np.frombuffer(b"".join(r["regs"] for r in s), np.uint16).reshape(-1, M) for s in (first, second)], [np.array([r["n"] for r in s], float) for s in (first, second)], [np.array([r["doc"] for r in s]) for s in (first, second)], [np.array([r["root"] for r in s]) for s in (first, second)])
-            out = []
-            for x in range(len(first)):
-                able = (root[1] != root[0][x]) & (np.minimum(n[1], n[0][x]) * 100 >= np.maximum(n[1], n[0][x]) * link.per_cent)
-                if second is first:
-                    able[: x + 1] = False
-                y = np.flatnonzero(able)
-                if len(y):
-                    y = y[estimate(np.broadcast_to(regs[0][x], (len(y), M)), regs[1][y], np.full(len(y), n[0][x]), n[1][y]) >= least]
-                    out += [(min(doc[0][x], d), max(doc[0][x], d)) for d in doc[1][y]]
-            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+        for rows in _groups(batches, ["key", "i", "j"]):
+            first, second = _sides(rows)
+            forest, out = _Forest(), []
+            for x, y in _near_pairs(first, second, least, link):
+                p, q = first[x]["root"], second[y]["root"]
+                if forest.join(p, q):
+                    out.append((min(p, q), max(p, q)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and key != (row["key"], row["i"], row["j"]):
-                    if (out := flush()) is not None:
-                        yield out
-                    held = []
-                key = (row["key"], row["i"], row["j"])
-                held.append(row)
-        if held and (out := flush()) is not None:
-            yield out
+    return run
+
+
+def _links_across(least: float, link: Link):
+    """Rows of block pairs of clusters, with texts, to links between components: a forest per block pair, verified on full sets."""
+
+    def run(batches):
+        for rows in _groups(batches, ["cluster", "i", "j"]):
+            sets = shingle_sets(pa.array([r["text"] for r in rows], pa.string()), link.k)
+            for row, own in zip(rows, sets):
+                row["set"] = own
+            first, second = _sides(rows)
+            forest, out = _Forest(), []
+            for x, y in _near_pairs(first, second, least, link):
+                p, q = first[x], second[y]
+                if forest.find(p["root"]) != forest.find(q["root"]) and _linked(p["set"], q["set"], link):
+                    forest.join(p["root"], q["root"])
+                    out.append((min(p["doc"], q["doc"]), max(p["doc"], q["doc"])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
 
 
-def _left_over(bands: DataFrame, reps: DataFrame, roots: DataFrame, link: Link) -> DataFrame:
-    """Likely pairs of documents that share a bucket but no component yet."""
+def _block_pairs(x: DataFrame, key: str, blocks) -> DataFrame:
+    """Each row once for each pair of blocks of its key that has its own block: i <= j, side."""
+    x = x.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
+    x = x.withColumn("p", F.explode(pair)).withColumn("i", F.col("p.i")).withColumn("j", F.col("p.j")).withColumn("side", F.col("p.side"))
+    return x.drop("p", "own", "blocks")
+
+
+def _left_over(bands: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataFrame, link: Link, scratch: Scratch) -> DataFrame:
+    """Links between components whose members share a bucket.
+
+    First the buckets' registers tell which components are close; only a forest of them is returned. Clusters of close
+    components are then compared with full sets, block by block, and again only a forest of links is returned. So rows
+    that leave a task never outnumber those that enter it, whatever a bucket holds.
+    """
+    least = _least_estimate(link)
     x = bands.join(roots, bands["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = x.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     x = x.join(mixed.select("key", "size"), "key").join(reps.select("doc", "n", "regs"), "doc")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    x = x.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
-    x = x.withColumn("p", F.explode(pair)).select("key", "p.i", "p.j", "p.side", "doc", "root", "n", "regs")
-    x = x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return x.mapInArrow(_across(_least_estimate(link), link), "a long, b long").distinct()
+    x = _block_pairs(x, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "side", "root", "n", "regs")
+    close = x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_roots(least, link), "a long, b long")
+    clusters = connected_components(close, scratch).select(F.col("node").alias("part"), F.col("root").alias("cluster"))
+    x = reps.join(roots, reps["doc"] == roots["node"], "left").select("doc", "n", "regs", F.coalesce("root", "doc").alias("root"))
+    x = scratch.table(x.join(clusters, F.col("root") == F.col("part")).drop("part"))
+    size = x.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
+    x = x.join(_some(texts, x.select("doc")), F.col("doc") == F.col("doc_id")).join(size, "cluster")
+    x = _block_pairs(x, "cluster", F.greatest(F.ceil(F.col("docs") / (2 * BLOCK)), F.ceil(F.col("all") / SHINGLES)))
+    x = x.select("cluster", "i", "j", "side", "doc", "root", "n", "regs", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return x.mapInArrow(_links_across(least, link), "a long, b long")
+
+
+def _some(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of the given documents. Few ids (at most IDS, counted) are broadcast, so that other texts are not shuffled."""
+    ids = docs.select(F.col("doc").alias("some")).distinct()
+    few = ids.limit(IDS + 1).count() <= IDS
+    return texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("some"), "left_semi")
 
 
 def near_duplicates(docs: DataFrame, link: Link = Link()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     all_ = scratch.table(sketches(docs, link))
     usable = all_.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -282,7 +375,7 @@ def near_duplicates(docs: DataFrame, link: Link = Link()) -> DataFrame:
     stars = bands.join(least, "key").filter("a < doc").select("a", F.col("doc").alias("b")).distinct()
     links = scratch.table(_verified(scratch.table(_likely(stars, reps, link)), texts, link))
     roots = connected_components(links, scratch)
-    more = scratch.table(_verified(scratch.table(_left_over(bands, reps, roots, link)), texts, link))
+    more = scratch.table(_left_over(bands, reps, roots, texts, link, scratch))
     roots = connected_components(links.union(more), scratch)
     roots = reps.join(roots, reps["doc"] == roots["node"], "left").select("n", "f1", "f2", F.coalesce("root", "doc").alias("root"))
     x = all_.drop("regs").join(roots, ["n", "f1", "f2"], "left")
