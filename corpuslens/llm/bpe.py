@@ -1,6 +1,6 @@
 """Byte-level BPE: encoding by a global shuffle of distinct words, decoding by the table of token bytes.
 
-Encoding. Texts are cut into pre-tokens on the JVM. A chunk (the documents of one Arrow batch) turns its pre-tokens
+Encoding. Texts are cut into pre-tokens on the JVM. A chunk (some thousand documents of one partition) turns its pre-tokens
 into positions in the chunk's own list of distinct words, so a word that fills the corpus leaves a chunk once, not
 once per place. The words of all chunks are shuffled by word: each distinct word is encoded once, by the merges of the
 rank file. The ids go back to the chunks that hold the word, meet the documents' position lists there, and the id
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuslens.llm.common import hash_slices, slices
+from corpuslens.llm.common import bound_batches, hash_slices, slices
 
+#: Bytes of pre-tokens of a chunk.
+CHUNK = 48 << 20
 #: White space as the tokenizer's pattern means it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -66,7 +68,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
-    """Arrow batches of (doc_id, tokens, odd), a chunk each, to packed rows: the chunk's distinct words by bucket of the
+    """Arrow batches of (doc_id, tokens, odd) to packed rows of chunks: the chunk's distinct words by bucket of the
     word's hash (want 'words'), or its documents as places in the list of words (want 'docs')."""
 
     def run(batches):
@@ -74,13 +76,17 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
         import xxhash
 
         other = regex.compile(pattern)
-        for batch in batches:
-            tokens, odd = batch.column("tokens"), batch.column("odd")
-            if odd.null_count < len(odd):  # characters that Java's tables don't know
-                tokens = pa.array([t if o is None else other.findall(o) for t, o in zip(tokens.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
-            coded, per_doc = tokens.flatten().dictionary_encode(), np.asarray(tokens.value_lengths().fill_null(0), np.int64)
-            at = np.asarray(coded.indices, np.int32)
-            sizes, data = _parts(coded.dictionary.cast(pa.binary()))
+        codes, dictionaries, held = [], [], 0
+        per_doc, doc_ids = [], []
+
+        def flush():
+            """The packed rows of the batches held, one chunk."""
+            bases = _offsets([len(d) for d in dictionaries])
+            joint = pa.concat_arrays(dictionaries).dictionary_encode()  # of the batches' words the chunk's
+            place = np.asarray(joint.indices, np.int32)
+            at = np.concatenate([place[b + c] for b, c in zip(bases, codes)])
+            sizes, data = _parts(joint.dictionary)
+            counts, ids = np.concatenate(per_doc), pa.concat_arrays(doc_ids)
             digest = xxhash.xxh64(at.tobytes())
             digest.update(sizes.tobytes())
             digest.update(data.tobytes())
@@ -89,15 +95,33 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
                 offsets = _offsets(sizes)
                 bucket = (hash_slices(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable").astype(np.int32)
-                for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)))):
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
                     own = order[lo:hi]
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[own[0]])], pa.int32()), "chunk": [chunk], "at": [own.tobytes()], "sizes": [sizes[own].astype(np.int32).tobytes()], "data": [_gather(data, offsets[own], sizes[own]).tobytes()]})
             else:
-                offsets = _offsets(per_doc)
-                for lo, hi in slices(per_doc, 200_000):
+                offsets = _offsets(counts)
+                for lo, hi in slices(counts, 200_000):
                     packed = pa.compress(at[offsets[lo] : offsets[hi]].tobytes(), "zstd", asbytes=True)
-                    ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("doc_id").slice(lo, hi - lo).cast(id_type))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([True]), ids, pa.array([b""]), pa.array([per_doc[lo:hi].tobytes()]), pa.array([packed])], PACKED)
+                    some = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids.slice(lo, hi - lo))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([True]), some, pa.array([b""]), pa.array([counts[lo:hi].tobytes()]), pa.array([packed])], PACKED)
+
+        for batch in batches:
+            tokens, odd = batch.column("tokens"), batch.column("odd")
+            if odd.null_count < len(odd):  # characters that Java's tables don't know
+                tokens = pa.array([t if o is None else other.findall(o) for t, o in zip(tokens.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
+            coded = tokens.flatten().dictionary_encode()
+            codes.append(np.asarray(coded.indices, np.int32))
+            dictionaries.append(coded.dictionary.cast(pa.binary()))
+            per_doc.append(np.asarray(tokens.value_lengths().fill_null(0), np.int64))
+            doc_ids.append(batch.column("doc_id").cast(id_type))
+            held += tokens.nbytes
+            if held >= CHUNK:
+                yield from flush()
+                codes, dictionaries, held = [], [], 0
+                per_doc, doc_ids = [], []
+        if codes:
+            yield from flush()
 
     return run
 
@@ -174,6 +198,7 @@ def _assemble(id_type: pa.DataType):
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of each row of docs (doc_id, text). ranks_path is read on the driver only."""
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(ranks_path, "rb") as f:
         ranks = f.read()  # bounded by the vocabulary
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -203,13 +228,15 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(ids)
-            flat, per_doc = np.asarray(lists.flatten(), np.int32), np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes) or not sizes[flat].all()):
-                raise ValueError("an id is not in the vocabulary")
-            raw = _gather(data, starts[flat], sizes[flat])
-            upto = _offsets(sizes[flat])[_offsets(per_doc)]
-            value = _binary(np.diff(upto), raw.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, value.cast(pa.binary())], [*batch.schema.names, out])
+            counts = np.asarray(batch.column(ids).value_lengths().fill_null(0), np.int64)
+            for lo, hi in slices(counts, 200_000):  # bounds what is held besides the batch
+                part, per_doc = batch.slice(lo, hi - lo), counts[lo:hi]
+                flat = np.asarray(part.column(ids).flatten(), np.int32)
+                if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes) or not sizes[flat].all()):
+                    raise ValueError("an id is not in the vocabulary")
+                raw = _gather(data, starts[flat], sizes[flat])
+                upto = _offsets(sizes[flat])[_offsets(per_doc)]
+                value = _binary(np.diff(upto), raw.tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, value.cast(pa.binary())], [*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
