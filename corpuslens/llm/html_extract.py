@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import slices
+from corpuslens.llm.common import bound_batches, slices
 
 #: Tags that are features of their own, tags that end a block of text, tags without content, tags that a start tag closes.
 TAGS = "html head title body nav header footer main article section aside div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th blockquote pre figure figcaption form label button select option textarea input a b strong em i span img small noscript template iframe svg details summary time".split()
@@ -38,7 +38,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCKS - set("button label option select textarea td th tr tbody thead tfoot html head body title iframe noscript template video audio canvas object".split())
 BINS = 128
-PAGES, TREES, DEPTH, STEP, SPLITS = 500, 60, 5, 0.2, 32
+PAGES, TREES, DEPTH, STEP, SPLITS = 400, 40, 5, 0.25, 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?>[^>]*)(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S | re.I)
 _ATTR = re.compile(r"(?:id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -430,6 +430,7 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
 
 def extract_pages(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html)."""
+    bound_batches(pages.sparkSession)
     trees = trees or trained()
 
     def run(batches):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import bound_batches
+
 RATE, FRAME, KEY, CHUNK_FRAMES = 8000, 64, 16, 256
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
@@ -161,6 +163,7 @@ SCHEMA = "n_bytes long, media binary, codec string, timescale int, duration long
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id and the media columns of each row's text: the stored file and what its boxes say."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

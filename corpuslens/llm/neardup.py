@@ -45,7 +45,7 @@ FIRST = 64
 #: An estimate's standard deviation is at most 0.032; pairs over 5 of them below the threshold go unverified.
 MARGIN = 5.0
 #: Documents of a bucket that are compared with each other in one block; edges that are verified against one text in one go.
-BLOCK, FAN = 256, 512
+BLOCK, FAN = 512, 512
 #: Bytes of text that are hashed at a time (a longer text alone); hashing takes some 40 bytes for each.
 PIECE = 1 << 18
 #: Shingles of the documents of one block of a cluster; document ids (8 bytes each) that are broadcast at most.

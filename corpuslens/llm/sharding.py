@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import Scratch
+from corpuslens.llm.common import Scratch, bound_batches
 
 #: Rows of a slice on average; a slice is sorted by one task.
 SLICE = 50_000
@@ -44,6 +44,7 @@ def communication_matrix(counts: dict[int, int], sizes: np.ndarray, seed: int) -
 
 def shuffle(df: DataFrame, shards: int, seed: int = 11, prefix: str = "") -> DataFrame:
     """df with columns <prefix>shard (int) and <prefix>slot (long, gapless from 0 in each shard)."""
+    bound_batches(df.sparkSession)
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     here, key = "__part", "__key"
     stored = scratch.table(df)

@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslens.llm.common import hash_slices, lower_ascii, mix, slices, text_buffer
+from corpuslens.llm.common import bound_batches, hash_slices, lower_ascii, mix, slices, text_buffer
 
 BITS, PREFIXES, LEVELS, SIZES = 20, (5, 7), (1, 2, 4), 24
 SAMPLE, FOLDS = {0: 8000, 1: 4000}, 5
 #: Terms that are kept (those that tell most), factors of each, passes over the sample, step and decay of learning.
 TERMS, FACTORS, PASSES, RATE, DECAY, BATCH = 2048, 8, 12, 0.05, 2e-4, 64
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -166,6 +166,7 @@ def _scores(flat, owner, n, bias, w, v):
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs with column score, the estimated probability of a toxic label; a column of that name is replaced."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("score")
     names = docs.columns
 
