@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpuslens.llm.common import bound_batches, hash_slices, slices
 
 #: Bytes of pre-tokens of a chunk.
-CHUNK = 48 << 20
+CHUNK = 32 << 20
 #: White space as the tokenizer's pattern means it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -67,6 +67,20 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
+def _pack(*parts: np.ndarray) -> tuple[int, bytes]:
+    """Uncompressed size and zstd form of some arrays: their byte lengths, then their bytes."""
+    raw = np.array([p.nbytes for p in parts], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(raw: int, blob: bytes, *kinds) -> list[np.ndarray]:
+    data, at, out = pa.decompress(blob, raw, "zstd", asbytes=True), 8 * len(kinds), []
+    for kind, size in zip(kinds, np.frombuffer(data, np.int64, len(kinds)).tolist()):
+        out.append(np.frombuffer(data[at : at + size], kind))
+        at += size
+    return out
+
+
 def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
     """Arrow batches of (doc_id, tokens, odd) to packed rows of chunks: the chunk's distinct words by bucket of the
     word's hash (want 'words'), or its documents as places in the list of words (want 'docs')."""
@@ -98,13 +112,14 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     own = order[lo:hi]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[own[0]])], pa.int32()), "chunk": [chunk], "at": [own.tobytes()], "sizes": [sizes[own].astype(np.int32).tobytes()], "data": [_gather(data, offsets[own], sizes[own]).tobytes()]})
+                    raw, blob = _pack(own, sizes[own].astype(np.int32), _gather(data, offsets[own], sizes[own]))
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[own[0]])], pa.int32()), "chunk": [chunk], "raw": [raw], "blob": [blob]})
             else:
                 offsets = _offsets(counts)
                 for lo, hi in slices(counts, 200_000):
-                    packed = pa.compress(at[offsets[lo] : offsets[hi]].tobytes(), "zstd", asbytes=True)
+                    raw, blob = _pack(counts[lo:hi], at[offsets[lo] : offsets[hi]])
                     some = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids.slice(lo, hi - lo))
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([True]), some, pa.array([b""]), pa.array([counts[lo:hi].tobytes()]), pa.array([packed])], PACKED)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([True]), some, pa.array([raw]), pa.array([blob])], PACKED)
 
         for batch in batches:
             tokens, odd = batch.column("tokens"), batch.column("odd")
@@ -126,7 +141,7 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
     return run
 
 
-PACKED = ["chunk", "is_doc", "doc_ids", "at", "sizes", "data"]
+PACKED = ["chunk", "is_doc", "doc_ids", "raw", "blob"]
 
 
 def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
@@ -139,18 +154,19 @@ def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
 
         def flush(held):
-            counts = [len(x["at"]) // 4 for x in held]
-            sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in held]).astype(np.int64)
-            coded = _binary(sizes, b"".join(x["data"] for x in held)).dictionary_encode()
+            parts = [_unpack(x["raw"], x["blob"], np.int32, np.int32, np.uint8) for x in held]
+            sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
+            coded = _binary(sizes, b"".join(p[2].tobytes() for p in parts)).dictionary_encode()
             ids = [[i] if (i := table.get(w)) is not None else encode(w) for w in coded.dictionary.to_pylist()]
             n = np.fromiter(map(len, ids), np.int32, len(ids))
             flat, first = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())), np.cumsum(n, dtype=np.int64) - n
             index, lo = np.asarray(coded.indices, np.int64), 0
             none = pa.array([[]], pa.list_(id_type))
-            for x, count in zip(held, counts):
-                w = index[lo : lo + count]
-                lo += count
-                yield pa.RecordBatch.from_arrays([pa.array([x["chunk"]]), pa.array([False]), none, pa.array([x["at"]]), pa.array([n[w].tobytes()]), pa.array([_gather(flat, first[w], n[w].astype(np.int64)).tobytes()])], PACKED)
+            for x, (at, _, _) in zip(held, parts):
+                w = index[lo : lo + len(at)]
+                lo += len(at)
+                raw, blob = _pack(at, n[w], _gather(flat, first[w], n[w].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([x["chunk"]]), pa.array([False]), none, pa.array([raw]), pa.array([blob])], PACKED)
 
         held = []
         for batch in batches:
@@ -175,18 +191,17 @@ def _assemble(id_type: pa.DataType):
                 row = batch.slice(i, 1)
                 if (key := row.column("chunk")[0].as_py()) != chunk:
                     chunk, held, known = key, [], None
-                at, sizes, data = (row.column(c)[0].as_py() for c in ("at", "sizes", "data"))
+                raw, blob = row.column("raw")[0].as_py(), row.column("blob")[0].as_py()
                 if not row.column("is_doc")[0].as_py():
-                    held.append((np.frombuffer(at, np.int32), np.frombuffer(sizes, np.int32), np.frombuffer(data, np.int32)))
+                    held.append(_unpack(raw, blob, np.int32, np.int32, np.int32))
                     known = None
                     continue
                 if known is None:
                     where, n, values = (np.concatenate([np.empty(0, np.int32), *x]) for x in (zip(*held) if held else ((), (), ())))
                     starts, counts = np.full(where.max(initial=-1) + 1, -1, np.int64), np.zeros(where.max(initial=-1) + 1, np.int64)
                     starts[where], counts[where] = np.cumsum(n, dtype=np.int64) - n, n
-                    known = True
-                per_doc = np.frombuffer(sizes, np.int64)
-                w = np.frombuffer(pa.decompress(data, int(per_doc.sum()) * 4, "zstd", asbytes=True), np.int32)
+                    known, held = True, []
+                per_doc, w = _unpack(raw, blob, np.int64, np.int32)
                 if len(w) and (w.max() >= len(starts) or (starts[w] < 0).any()):
                     raise RuntimeError("a chunk was cut differently in two runs of its task; store the input as a table first")
                 ids, upto = _gather(values, starts[w], counts[w]), _offsets(counts[w])[_offsets(per_doc)]
@@ -207,8 +222,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     x = x.select("doc_id", F.when(F.col("o"), F.col("text")).alias("odd"), F.when(~F.col("o"), F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("tokens"))
     kind = docs.schema["doc_id"].dataType
     arrow, buckets = to_arrow_type(kind), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = f"chunk long, is_doc boolean, doc_ids array<{kind.simpleString()}>, at binary, sizes binary, data binary"
-    words = x.mapInArrow(_cut(pattern, buckets, arrow, "words"), "bucket int, chunk long, at binary, sizes binary, data binary")
+    packed = f"chunk long, is_doc boolean, doc_ids array<{kind.simpleString()}>, raw long, blob binary"
+    words = x.mapInArrow(_cut(pattern, buckets, arrow, "words"), "bucket int, chunk long, raw long, blob binary")
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks, pattern, arrow), packed)
     places = x.mapInArrow(_cut(pattern, buckets, arrow, "docs"), packed)
     both = ids.unionByName(places).repartition("chunk").sortWithinPartitions("chunk", "is_doc")
