@@ -31,28 +31,40 @@ def _escaped(x: Column) -> Column:
     return F.replace(x, F.lit("<|"), F.lit("<\\|"))
 
 
+def _role(speaker: Column, perspective: Column) -> Column:
+    return F.when(speaker == "system", "system").when(speaker == perspective, "assistant").otherwise("user")
+
+
+def _head(speaker: Column, perspective: Column) -> Column:
+    role = _role(speaker, perspective)
+    return F.concat(F.lit("<|"), role, F.when(role == "user", F.concat(F.lit(" name="), _escaped(speaker))).otherwise(""), F.lit("|>\n"))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, seq (from 0), turn, speaker, chat_role, segment, start, end, learn_start, learn_end (null if not learned)."""
-    speaker = F.coalesce(F.col("role"), F.lit("unknown"))
-    x = conversations.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    x = x.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("times"))
-    people = x.filter("speaker <> 'system'").select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    x = x.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    role = F.when(F.col("speaker") == "system", "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    x = x.withColumn("chat_role", role)
-    name = F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), _escaped(F.col("speaker")))).otherwise("")
-    x = x.withColumn("head", F.concat(F.lit("<|"), "chat_role", name, F.lit("|>\n"))).withColumn("segment", F.concat("head", _escaped(F.col("text")), F.lit(END)))
-    x = x.withColumn("size", F.length("segment").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    # what stands before a block, then before a row in its block
-    sums = x.groupBy("conv_id", "perspective", "block").agg(F.sum("times").alias("bt"), F.sum(F.col("size") * F.col("times")).alias("bs"))
-    over = Window.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_first())
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), (F.sum("bt").over(over) - F.col("bt")).alias("t0"), (F.sum("bs").over(over) - F.col("bs")).alias("s0"))
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """conv_id, perspective, seq (from 0), turn, speaker, chat_role, segment, start, end, learn_start, learn_end (null if not learned).
+
+    Texts are shuffled once, by conversation and block of turns. What stands before a block is found from counts and
+    lengths alone and joined to the block.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    x = conversations.select("conv_id", key.alias("c"), "turn", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 60))).alias("b"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    light = x.groupBy("c", "b", "speaker").agg(F.count("*").alias("n"), F.sum(F.length(_escaped(F.col("text"))).cast("long")).alias("chars"))
+    people = light.filter("speaker <> 'system'").select("c", F.col("speaker").alias("perspective")).distinct()
+    sums = light.join(people, "c")
+    fixed = F.length(_head(F.col("speaker"), F.col("perspective"))) + len(END)
+    sums = sums.groupBy("c", "perspective", "b").agg(F.sum("n").alias("bt"), F.sum(F.col("n") * fixed + F.col("chars")).alias("bs"))
+    over = Window.partitionBy("c", "perspective").orderBy("b")
+    sums = sums.select("c", "b", F.struct("perspective", (F.sum("bt").over(over) - F.col("bt")).alias("t0"), (F.sum("bs").over(over) - F.col("bs")).alias("s0")).alias("of"))
+    sums = sums.groupBy("c", "b").agg(F.collect_list("of").alias("of"))  # a row per participant
+    x = x.repartition("c", "b").groupBy("c", "b", "conv_id", "turn", "speaker", "text").agg(F.count("*").alias("times"))
+    x = x.join(sums, ["c", "b"]).withColumn("of", F.explode("of")).select("c", "b", "conv_id", "turn", "speaker", "text", "times", "of.perspective", "of.t0", "of.s0")
+    x = x.withColumn("head", _head(F.col("speaker"), F.col("perspective"))).withColumn("segment", F.concat("head", _escaped(F.col("text")), F.lit(END)))
+    x = x.withColumn("size", F.length("segment").cast("long"))
+    inside = Window.partitionBy("c", "b", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("t1", F.sum("times").over(inside) - F.col("times")).withColumn("s1", F.sum(F.col("size") * F.col("times")).over(inside) - F.col("size") * F.col("times"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("block").eqNullSafe(F.col("b"))
-    x = x.join(sums, same).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     x = x.withColumn("seq", F.col("t0") + F.col("t1") + F.col("k")).withColumn("start", F.col("s0") + F.col("s1") + F.col("k") * F.col("size"))
-    x = x.withColumn("end", F.col("start") + F.col("size"))
+    x = x.withColumn("end", F.col("start") + F.col("size")).withColumn("chat_role", _role(F.col("speaker"), F.col("perspective")))
     learned = F.col("chat_role") == "assistant"
     return x.select(
         "conv_id", "perspective", "seq", "turn", "speaker", "chat_role", "segment", "start", "end",
