@@ -125,6 +125,10 @@ def span_list(columns: list[str]) -> Column:
     return F.array_join(F.transform(F.concat(*columns), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _tagged(kind: Kind, tag: Column) -> Callable[[Column], Column]:
+    return lambda x: F.when(kind.valid(x), tag).otherwise(x) if kind.valid else tag
+
+
 def mask_pii(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     """docs with each span of the kinds in column text replaced by [KIND], kind after kind; kinds that only context
     could confirm are left. Null texts stay null; other columns are kept. One step per kind, linear in the text."""
@@ -134,7 +138,7 @@ def mask_pii(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
             continue
         able = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
         tag = F.lit(f"[{kind.name.upper()}]")
-        found = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda x, k=kind, t=tag: F.when(k.valid(x), t).otherwise(x) if k.valid else t)
+        found = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), _tagged(kind, tag))
         pieces = F.zip_with(F.split(text, kind.pattern, -1), found, lambda part, hit: F.concat(part, F.coalesce(hit, F.lit(""))))
         docs = docs.withColumn("text", F.when(able, F.array_join(pieces, "")).otherwise(text))
     return docs
