@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z is lower-cased: ASCII other than 0-9 and a-z.
@@ -46,16 +47,31 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Rows of a file of a scratch table.
+ROWS_PER_FILE = 100_000
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors and are read column by column."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = ROWS_PER_FILE) -> DataFrame:
+        """A table of df in files of about so many rows each (None: a file per partition).
+
+        The rows are computed by all tasks and kept on the executors' disks until they are written, so that a small
+        result of many partitions does not become as many files.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        if rows is None:
+            df.write.parquet(path)
+        else:
+            kept = df.persist(StorageLevel.DISK_ONLY)
+            files = max(1, -(-kept.count() // rows))
+            kept.coalesce(files).write.parquet(path)
+            kept.unpersist()
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

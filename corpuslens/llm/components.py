@@ -23,20 +23,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no smaller end: then every edge leads to its component's smallest node."""
+    n, ends = edges.agg(F.count("*"), F.count_distinct("b")).first()
+    return n == ends and not edges.select(F.col("a").alias("x")).join(edges.select(F.col("b").alias("x")), "x", "left_semi").limit(1).count()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges (a, b), a < b, to a table (node, root) of every node that has an edge; root is the component's smallest node.
+    """edges (a, b), a < b, a stored table, to a table (node, root) of every node that has an edge; root is the component's smallest node.
 
-    Alternates the two star operations until the edges stay the same; then every edge leads to its root. A node's
-    neighbours are only aggregated and joined, never gathered. Each round is a table in the shared folder.
+    Alternates the two star operations until what is left are stars around their smallest nodes. A node's neighbours
+    are only aggregated and joined, never gathered. Each round is a table in the shared folder.
     """
-    now, mark = scratch.table(edges.select("a", "b").distinct()), None
-    while True:
+    now, own = edges.select("a", "b"), False
+    while not _is_star_forest(now):
         new = scratch.table(_small_star(_large_star(now)))
-        scratch.drop(now)
-        now = new
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == mark or not after[0]:
-            break
-        mark = after
+        if own:
+            scratch.drop(now)
+        now, own = new, True
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

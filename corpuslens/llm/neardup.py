@@ -343,7 +343,7 @@ def _left_over(bands: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataF
     x = x.join(mixed.select("key", "size"), "key").join(reps.select("doc", "n", "regs"), "doc")
     x = _block_pairs(x, "key", F.ceil(F.col("size") / BLOCK)).select("key", "i", "j", "side", "root", "n", "regs")
     close = x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_roots(least, link), "a long, b long")
-    clusters = connected_components(close, scratch).select(F.col("node").alias("part"), F.col("root").alias("cluster"))
+    clusters = connected_components(scratch.table(close.distinct()), scratch).select(F.col("node").alias("part"), F.col("root").alias("cluster"))
     x = reps.join(roots, reps["doc"] == roots["node"], "left").select("doc", "n", "regs", F.coalesce("root", "doc").alias("root"))
     x = scratch.table(x.join(clusters, F.col("root") == F.col("part")).drop("part"))
     size = x.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
@@ -373,10 +373,10 @@ def near_duplicates(docs: DataFrame, link: Link = Link()) -> DataFrame:
     bands = scratch.table(_shared(_bands(reps.select("doc", "regs"))))
     least = bands.groupBy("key").agg(F.min("doc").alias("a"))
     stars = bands.join(least, "key").filter("a < doc").select("a", F.col("doc").alias("b")).distinct()
-    links = scratch.table(_verified(scratch.table(_likely(stars, reps, link)), texts, link))
+    links = scratch.table(_verified(scratch.table(_likely(stars, reps, link)), texts, link).distinct())
     roots = connected_components(links, scratch)
     more = scratch.table(_left_over(bands, reps, roots, texts, link, scratch))
-    roots = connected_components(links.union(more), scratch)
+    roots = connected_components(links.union(more).distinct(), scratch)
     roots = reps.join(roots, reps["doc"] == roots["node"], "left").select("n", "f1", "f2", F.coalesce("root", "doc").alias("root"))
     x = all_.drop("regs").join(roots, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("root")).otherwise(F.col("doc_id"))
