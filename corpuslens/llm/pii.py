@@ -1,7 +1,7 @@
 """Personal data in texts, in DataFrame operations only.
 
 Regular expressions propose spans; validators confirm them (octets of an address, Luhn for card numbers, digit counts
-for phones, mod-97 for bank accounts); context words next to a span adjust its score. The base kinds follow the
+for phones, mod-97 for bank accounts); context words next to a span, not beyond another match of the kind, adjust its score. The base kinds follow the
 contract and stay whatever their score; the added kinds need a score of ACCEPT.
 
 Matches and the parts between them come from regexp_extract_all and split with the same pattern, so a match's place is

@@ -31,6 +31,8 @@ BITS, PREFIXES, LEVELS, SIZES = 20, (5, 7), (1, 2, 4), 24
 SAMPLE, FOLDS = {0: 8000, 1: 4000}, 5
 #: Terms that are kept (those that tell most), factors of each, passes over the sample, step and decay of learning.
 TERMS, FACTORS, PASSES, RATE, DECAY, BATCH = 2048, 8, 12, 0.05, 2e-4, 64
+#: Least log likelihood ratio of a term that is kept, so that a small sample does not fill the machine with chance.
+LEAST_TOLD = 6.0
 PIECE = 1 << 18
 
 
@@ -128,7 +130,7 @@ def _learn(y: np.ndarray, examples: list[np.ndarray], count: dict[int, int]) ->
 
     tells = np.where(both >= 3, part(d1, n1, p1) + part(d0, n0, p0) - part(d1, n1, p) - part(d0, n0, p), 0)
     terms = np.sort(np.argsort(-tells, kind="stable")[:TERMS])
-    terms = terms[tells[terms] > 0]
+    terms = terms[tells[terms] >= LEAST_TOLD]
     if not len(terms):
         return none
     place = np.full(1 << BITS, -1, np.int64)
