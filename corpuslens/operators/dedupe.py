@@ -19,6 +19,8 @@ from corpuslens.operators.components import connected_components
 
 #: Text signatures.
 SEED, MERSENNE, NGRAM, LEAST_CHARS, PERMUTATIONS, BANDS, OWNER_CAP, NEAR, REVIEW = "clouda.quality.textdup.v1", 2**61 - 1, 4, 40, 128, 16, 20, 0.85, 0.70
+#: Characters of the texts that are signed together.
+PIECE = 200_000
 #: Hamming limits of the three 64-bit hashes, and of likely pairs.
 CONFIRMED, LIKELY, IMAGE_CAP = (8, 10, 10), 12, 4096
 
@@ -135,26 +137,32 @@ def _mulmod(a: int, x: np.ndarray) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
-def ngram_hashes(text: str) -> np.ndarray:
-    return np.array(sorted({_u64(text[i : i + NGRAM]) for i in range(len(text) - NGRAM + 1)}), np.uint64)
-
-
 def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value") -> DataFrame:
     """id, signature (array of PERMUTATIONS longs) and grams (sorted distinct 64-bit hashes of character 4-grams) of normalized texts of at least LEAST_CHARS characters."""
     params = _permutations()
 
     @F.pandas_udf("signature array<long>, grams array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        signatures, grams = [], []
-        for t in texts:
-            h = ngram_hashes(t)
-            x = h % np.uint64(MERSENNE)
-            out = []
-            for a, b in params:
+        signatures, grams, values = [], [], texts.tolist()
+        lo = 0
+        while lo < len(values):  # some texts at a time: each distinct gram is hashed and permuted once for them
+            hi, size = lo, 0
+            while hi < len(values) and (hi == lo or size + len(values[hi]) <= PIECE):
+                size += len(values[hi])
+                hi += 1
+            sets = [{t[i : i + NGRAM] for i in range(len(t) - NGRAM + 1)} for t in values[lo:hi]]
+            known = {g: i for i, g in enumerate(set().union(*sets))}
+            h = np.fromiter(map(_u64, known), np.uint64, len(known))
+            x, at = h % np.uint64(MERSENNE), [np.fromiter((known[g] for g in s), np.int64, len(s)) for s in sets]
+            flat, first = np.concatenate(at), np.cumsum([0, *map(len, at[:-1])])
+            least = np.empty((len(params), len(at)), np.uint64)
+            for k, (a, b) in enumerate(params):
                 v = _mulmod(a, x) + np.uint64(b)
-                out.append(int(np.where(v >= np.uint64(MERSENNE), v - np.uint64(MERSENNE), v).min()))
-            signatures.append(out)
-            grams.append(h.view(np.int64))
+                v = np.where(v >= np.uint64(MERSENNE), v - np.uint64(MERSENNE), v)
+                least[k] = np.minimum.reduceat(v[flat], first)
+            signatures += list(least.T.astype(np.int64))
+            grams += [np.sort(h[i]).view(np.int64) for i in at]
+            lo = hi
         return pd.DataFrame({"signature": signatures, "grams": grams})
 
     x = df.where(F.length(text) >= LEAST_CHARS).select(F.col(id_).alias("id"), run(text).alias("r"))

@@ -43,7 +43,7 @@ def split_for(key: Column, seed: int, ratios: dict[str, float] = RATIOS) -> Colu
 
 
 def assign_splits(df: DataFrame, seed: int, ratios: dict[str, float] = RATIOS) -> DataFrame:
-    """Adds group_key, root and target_split (a prior one is read from target_split).
+    """Adds group_key, split_root and target_split (a prior one is read from target_split).
 
     Groups that share a file hash, a normalized text or a duplicate link are one component and get one split: the prior
     one if all that have one agree, else that of the smallest key. Failed and excluded rows stay unassigned.
@@ -52,11 +52,11 @@ def assign_splits(df: DataFrame, seed: int, ratios: dict[str, float] = RATIOS) -
     live = x.where(~F.col("validation_status").isin("error", "excluded"))
     named = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(name), F.col(c)))
     own = F.array_compact(F.array(F.concat(F.lit("key\x1f"), "group_key"), named("file\x1f", "file_sha256"), named("text\x1f", "normalized_text_sha256"), named("sample\x1f", "sample_id"), named("sample\x1f", "duplicate_of")))
-    roots = connected_components(live.select(F.col("group_key").alias("node"), F.explode(own).alias("signal"))).withColumnRenamed("node", "group_key")
+    roots = connected_components(live.select(F.col("group_key").alias("node"), F.explode(own).alias("signal"))).select(F.col("node").alias("group_key"), F.col("root").alias("split_root"))
     known = F.when(F.col("target_split") != "unassigned", F.col("target_split"))
-    prior = live.join(roots, "group_key").groupBy("root").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
-    roots = roots.join(prior, "root").select("group_key", "root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(split_for(F.col("root"), seed, ratios)).alias("new_split"))
-    x = x.join(roots, "group_key", "left")
+    prior = live.join(roots, "group_key").groupBy("split_root").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
+    prior = prior.select("split_root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(split_for(F.col("split_root"), seed, ratios)).alias("new_split"))
+    x = x.join(roots.join(prior, "split_root"), "group_key", "left")
     failed = F.col("validation_status").isin("error", "excluded")
     return x.withColumn("target_split", F.when(failed, "unassigned").otherwise(F.coalesce("new_split", F.lit("unassigned")))).drop("new_split")
 
