@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.operators.components import checkpointing
 from corpuslens.operators.splits import hash_rank
 
 #: Thresholds, weights, severities and categories of the analysis.
@@ -114,11 +115,16 @@ def hard_examples(df: DataFrame, weights: dict[str, float] = WEIGHTS, failure_ce
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the place of each row in a total order, from 1, without a single task: rows are range-partitioned, counted and numbered in each part."""
-    x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    """Adds the place of each row in a total order, from 1, without a single task: rows are range-partitioned, counted and numbered in each part.
+
+    The ordered parts are checkpointed: the counts and the numbers must see the same parts, and sampled range bounds may
+    differ between two runs of a plan.
+    """
+    checkpointing(df.sparkSession)
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint().withColumn("_at", F.monotonically_increasing_id())
     # the id holds the partition in its upper bits and the place in it in the lower ones
     x = x.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = x.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per part
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     return x.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_at", "_part", "_in", "_before")
 

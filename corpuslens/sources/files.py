@@ -193,3 +193,81 @@ def stale_files(listed: DataFrame, as_of: str, days: int, run: str | None = None
     """Files modified more than so many days before as_of, of one run's folder if named."""
     x = listed.where(F.col("modified") < F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days)))
     return x.where(F.col("rel_path").startswith(f"{run}/")) if run else x
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON lines, or of files that are one JSON array each, under their aliases."""
+    whole = spark.read.text(path, wholetext=True)
+    is_array = F.substring(F.trim("value"), 1, 1) == "["
+    items = whole.where(is_array).select(F.explode(F.from_json("value", T.ArrayType(T.MapType(T.StringType(), T.StringType())))).alias("fields"))
+    lines = whole.where(~is_array).select(F.explode(F.split("value", "\n")).alias("raw")).where(F.trim("raw") != "").select(F.from_json("raw", T.MapType(T.StringType(), T.StringType())).alias("fields"))
+    return record_drafts(items.unionByName(lines).withColumn("problem", F.when(F.col("fields").isNull(), "malformed")))
+
+
+def benchmark_pages(rows: DataFrame, dataset_id: str, version: str) -> DataFrame:
+    """Rows (page_id, document_id, split, page_number, profile, steps: array of struct distortion, severity) as page records; protection follows the split."""
+    from corpuslens.functions.protection import marks_protected
+
+    names = F.transform(F.coalesce("steps", F.array().cast("array<struct<distortion:string,severity:string>>")), lambda s: F.struct(s["distortion"].alias("distortion"), F.coalesce(s["severity"], F.lit("none")).alias("severity")))
+    return rows.select("page_id", "document_id", F.lit(dataset_id).alias("dataset_id"), F.lit(version).alias("dataset_version"), F.coalesce("split", F.lit("unassigned")).alias("split"), F.coalesce("page_number", F.lit(1)).alias("page_number"), "profile", marks_protected(F.col("split")).alias("protected"), names.alias("distortions"))
+
+
+def model_records(runs: DataFrame) -> DataFrame:
+    """Run metadata (run_id, raw: JSON) as model lineage rows."""
+    at = lambda name, *paths: F.coalesce(*[F.get_json_object("raw", f"$.{p}") for p in paths], F.lit(None).cast("string")).alias(name)
+    return runs.select("run_id", at("model_id", "model_id", "model.id", "model"), at("base_model", "base_model", "model.base"), at("revision", "revision", "model.revision"), at("dataset_id", "dataset_id", "dataset.id"), at("status", "status"))
+
+
+def register(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (id, checksum) with duplicate_of: the smallest owner of the checksum among known files, else among those before them."""
+    from pyspark.sql.window import Window
+
+    owners = known.groupBy("checksum").agg(F.min("id").alias("_owner"))
+    first = F.min("id").over(Window.partitionBy("checksum"))
+    x = files.join(owners, "checksum", "left").withColumn("_first", first)
+    return x.withColumn("duplicate_of", F.coalesce("_owner", F.when(F.col("id") != F.col("_first"), F.col("_first")))).drop("_owner", "_first")
+
+
+def handoff(prepared: DataFrame, profiles: list[str], seed: int) -> DataFrame:
+    """Training rows that a synthesis run may take, with what it is asked for."""
+    x = prepared.where("target_split = 'train' AND validation_status <> 'error' AND duplicate_state IN ('unique', 'canonical')")
+    return x.select("sample_id", "source_id", "source_path", F.array(*map(F.lit, profiles)).alias("profiles"), F.lit(seed).alias("seed"))
+
+
+def export_projection(df: DataFrame, normalized: bool = False) -> DataFrame:
+    """The columns of a training export; text is the raw or the normalized one, whichever is there."""
+    body = F.coalesce("text", "raw_text") if normalized else F.coalesce("raw_text", "text")
+    keep = ["sample_id", "source_id", "source_path", "document_id", "page_id", "page_index", "group_id", "image_path", "language", "script", "target_split", "file_sha256", "normalized_text_sha256", "duplicate_state", "validation_status"]
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in keep], body.alias("text"))
+
+
+def split_protected(df: DataFrame, protected: Column) -> tuple[DataFrame, DataFrame]:
+    """(safe rows, counts of safe and protected rows)."""
+    flag = F.coalesce(protected, F.lit(True))
+    return df.where(~flag), df.agg(F.count_if(~flag).alias("safe"), F.count_if(flag).alias("protected"))
+
+
+def assert_safe(df: DataFrame, protected: Column) -> DataFrame:
+    """df, failing on the first protected row."""
+    return df.where(F.assert_true(~F.coalesce(protected, F.lit(True)), "a protected row").isNull())
+
+
+def only_split(df: DataFrame, split: str) -> DataFrame:
+    """Rows of one split, which must not be a protected one."""
+    from corpuslens.functions.protection import SPLITS
+
+    if split.strip().lower() in SPLITS:
+        raise ValueError(f"{split} is protected")
+    return df.where(F.lower(F.trim("target_split")) == split.strip().lower())
+
+
+def export_run(tables: dict[str, DataFrame], run_id: str, path: str) -> None:
+    """All rows of one run, a Parquet folder per table."""
+    for name, df in tables.items():
+        (df.where(F.col("run_id") == run_id) if "run_id" in df.columns else df).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def approved_rows(examples: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Approved examples with their revision's file: id, before, after, digest of the pair, file_hash."""
+    x = examples.where("status = 'approved'").join(revisions.select(F.col("id").alias("revision_id"), "file_hash"), "revision_id")
+    return x.select("id", "before", "after", F.sha2(F.concat_ws("\x00", "before", "after"), 256).alias("pair_sha256"), "file_hash").orderBy("id")

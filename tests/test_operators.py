@@ -178,3 +178,24 @@ def test_evaluation_dimensions_agree(spark):
 def test_export_rows(spark):
     x = files.union_of_keys(spark.createDataFrame([(1, [1, 2])], "a long, b array<int>"), spark.createDataFrame([("z",)], "c string"))
     assert sorted(json.dumps(r.asDict(), sort_keys=True) for r in x.collect()) == ['{"a": "1", "b": "[1,2]", "c": null}', '{"a": null, "b": null, "c": "z"}']
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "label": "x"}, {"id": "2", "text": "y"}]')
+    (tmp_path / "b.jsonl").write_text('{"id": "3", "transcription": "z"}\n{bad\n')
+    got = {(r.record_id, r.text, r.problem) for r in files.read_samples(spark, str(tmp_path)).collect()}
+    assert got == {("1", "x", None), ("2", "y", None), ("3", "z", None), (None, None, "malformed")}
+    new, known = spark.createDataFrame([("f1", "c1"), ("f2", "c2"), ("f3", "c2")], "id string, checksum string"), spark.createDataFrame([("k", "c1")], "id string, checksum string")
+    assert {r.id: r.duplicate_of for r in files.register(new, known).collect()} == {"f1": "k", "f2": None, "f3": "f2"}
+    runs = spark.createDataFrame([("r", '{"model": {"id": "m", "base": "b"}, "status": "done"}')], "run_id string, raw string")
+    assert files.model_records(runs).first()["base_model"] == "b"
+    with pytest.raises(ValueError):
+        files.only_split(new, "Holdout ")
+    with pytest.raises(Exception, match="protected"):
+        files.assert_safe(new, F.col("id") == "f1").collect()
+    safe, counts = files.split_protected(new, F.col("id") == "f1")
+    assert safe.count() == 2 and tuple(counts.first()) == (2, 1)
+    prev = spark.createDataFrame([("a", 1, 5, "h1")], "rel_path string, size long, modified long, sha256 string")
+    cache = spark.createDataFrame([("b", 1, 5, "c" * 64, 1), ("b", 1, 5, "d" * 64, 2), ("b", 1, 5, "junk", 3)], "rel_path string, size long, modified long, sha256 string, seq long")
+    listed = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("a2", 1, 5)], "rel_path string, size long, modified long")
+    assert {r.rel_path: (r.sha256, r.origin) for r in files.reuse_digests(listed, prev, cache).collect()} == {"a": ("h1", "index"), "b": ("d" * 64, "cache"), "a2": (None, "hash")}
