@@ -85,8 +85,8 @@ def _clip(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
 
 
-def hard_examples(df: DataFrame, weights: dict[str, float] = WEIGHTS, failure_cer: float = 0.5) -> DataFrame:
-    """Adds signals, score (rounded half even to 6 places) and rank, by falling score and id.
+def hard_examples(df: DataFrame, weights: dict[str, float] = WEIGHTS, failure_cer: float = 0.5, digits: int = 6) -> DataFrame:
+    """Adds signals, score (rounded half even to so many places) and rank, by falling score and id.
 
     The batch maxima and category shares are one row each, joined by a broadcast cross join of a single aggregate row.
     """
@@ -110,7 +110,7 @@ def hard_examples(df: DataFrame, weights: dict[str, float] = WEIGHTS, failure_ce
     }
     x = x.withColumn("signals", F.struct(*[F.bround(v, 6).alias(k) for k, v in signals.items()], (F.coalesce("cer", F.lit(0.0)) >= failure_cer).cast("double").alias("cross_model_failure")))
     score = sum((F.lit(weights[k]) * v for k, v in signals.items()), F.lit(0.0))
-    x = x.withColumn("score", F.bround(score, 6)).drop("_counts", "_cats", "_pers", "_regr", "_totals", "_all")
+    x = x.withColumn("score", F.bround(score, digits)).drop("_counts", "_cats", "_pers", "_regr", "_totals", "_all")
     return ranked(x, [F.col("score").desc(), F.col("sample_id")])
 
 
