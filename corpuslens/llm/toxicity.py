@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from corpuslens.llm.common import bound_batches, hash_slices, lower_ascii, mix, slices, text_buffer
 
 BITS, PREFIXES, LEVELS, SIZES = 20, (5, 7), (1, 2, 4), 24
-SAMPLE, FOLDS = {0: 8000, 1: 4000}, 5
+SAMPLE, FOLDS = {0: 4000, 1: 2000}, 5
 #: Terms that are kept (those that tell most), factors of each, passes over the sample, step and decay of learning.
 TERMS, FACTORS, PASSES, RATE, DECAY, BATCH = 2048, 8, 12, 0.05, 2e-4, 64
 #: Least log likelihood ratio of a term that is kept, so that a small sample does not fill the machine with chance.
