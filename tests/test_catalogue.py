@@ -1,6 +1,6 @@
 import pytest
 
-from corpuslens.plans import catalogue
+from corpuslens.plans import catalogue, more  # noqa: F401  (more adds to the catalogue)
 from tests.oracle import spark_rows, sql_rows
 
 
