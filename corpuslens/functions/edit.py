@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import ARABIC, tokens
@@ -50,17 +51,27 @@ def agreement(left: Column, right: Column) -> Column:
     return F.struct(one(F.levenshtein(left, right), longer(F.length(left), F.length(right))).alias("characters"), one(word_distance(left, right), longer(F.size(tokens(left)), F.size(tokens(right)))).alias("words"))
 
 
-def page_metrics(reference: Column, prediction: Column, folded_reference: Column, folded_prediction: Column) -> Column:
-    """struct of the measures of a page; the folded texts are the same after normalization."""
-    empty = F.trim(prediction) == ""
-    return F.struct(
-        cer(reference, prediction).alias("cer"), wer(reference, prediction).alias("wer"), cer(folded_reference, folded_prediction).alias("ncer"),
-        (reference == prediction).cast("int").alias("exact"), (folded_reference == folded_prediction).cast("int").alias("normalized_exact"),
-        F.greatest(F.lit(0.0), 1.0 - cer(reference, prediction)).alias("character_accuracy"), F.greatest(F.lit(0.0), 1.0 - wer(reference, prediction)).alias("word_accuracy"),
-        (empty & (F.trim(reference) != "")).cast("int").alias("missing"), (~empty & (F.trim(reference) == "")).cast("int").alias("hallucination"), empty.cast("int").alias("empty"),
+def with_page_metrics(df: DataFrame, reference: str = "reference", prediction: str = "prediction", folded: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds the measures of a page: cer, wer, ncer (of the folded texts, if given), exact, normalized_exact, accuracies, missing, hallucination, empty.
+
+    The distances are columns of their own, so each is computed once.
+    """
+    r, p = F.col(reference), F.col(prediction)
+    a, b = folded or (r, p)
+    x = df.withColumn("cer", cer(r, p)).withColumn("wer", wer(r, p))
+    x = x.withColumn("ncer", cer(a, b) if folded else F.col("cer"))
+    empty = F.trim(p) == ""
+    return x.select(
+        "*", (r == p).cast("int").alias("exact"), (a == b).cast("int").alias("normalized_exact"), F.greatest(F.lit(0.0), 1.0 - F.col("cer")).alias("character_accuracy"), F.greatest(F.lit(0.0), 1.0 - F.col("wer")).alias("word_accuracy"),
+        (empty & (F.trim(r) != "")).cast("int").alias("missing"), (~empty & (F.trim(r) == "")).cast("int").alias("hallucination"), empty.cast("int").alias("empty"),
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over the cores by keys, before work that is quadratic in a text's length: a small table is one partition else."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def convert_error(value: Column, source: str, target: str) -> Column:
     """Between 'ratio' and 'percent'."""
     if {source, target} - {"ratio", "percent"}:
@@ -71,30 +82,67 @@ def convert_error(value: Column, source: str, target: str) -> Column:
 # ---- alignments ----
 
 
-def align(reference, hypothesis) -> list[tuple[str, int, int]]:
-    """(op, reference place, hypothesis place) of a cheapest alignment; of equal costs substitution, then deletion, then insertion. -1: none."""
-    n, m = len(reference), len(hypothesis)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        above, row, r = cost[-1], [i], reference[i - 1]
-        for j in range(1, m + 1):
-            row.append(min(above[j - 1] + (r != hypothesis[j - 1]), above[j] + 1, row[j - 1] + 1))
-        cost.append(row)
+#: Cells of a cost table that is kept whole; larger pairs are halved first.
+CELLS = 25_000_000
+
+
+def _codes(reference, hypothesis) -> tuple[np.ndarray, np.ndarray]:
+    known: dict = {}
+    return tuple(np.fromiter((known.setdefault(x, len(known)) for x in s), np.int64, len(s)) for s in (reference, hypothesis))
+
+
+def _row(above: np.ndarray, same: np.ndarray, first: int, steps: np.ndarray) -> np.ndarray:
+    """The next row of the cost table: the cheapest of substitution, deletion and, as a running minimum, insertion."""
+    row = np.empty_like(above)
+    row[0] = first
+    row[1:] = np.minimum(above[:-1] + ~same, above[1:] + 1)
+    return np.minimum.accumulate(row - steps) + steps
+
+
+def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of aligning all of a with each beginning of b."""
+    steps = np.arange(len(b) + 1)
+    row = steps
+    for i, x in enumerate(a, 1):
+        row = _row(row, b == x, i, steps)
+    return row
+
+
+def _trace(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> list[tuple[str, int, int]]:
+    n, m = len(a), len(b)
+    if n > 1 and n * m > CELLS:  # a cheapest alignment passes the middle of a where the two halves cost least together
+        half = n // 2
+        cut = int(np.argmin(_costs(a[:half], b) + _costs(a[half:][::-1], b[::-1])[::-1]))
+        return _trace(a[:half], b[:cut], at_a, at_b) + _trace(a[half:], b[cut:], at_a + half, at_b + cut)
+    steps = np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1), np.int32)
+    cost[0] = steps
+    for i, x in enumerate(a, 1):
+        cost[i] = _row(cost[i - 1], b == x, i, steps)
     out, i, j = [], n, m
     while i or j:
-        here = cost[i][j]
-        if i and j and here == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+        here = cost[i, j]
+        if i and j and here == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("match" if reference[i] == hypothesis[j] else "substitution", i, j))
-        elif i and here == cost[i - 1][j] + 1:
+            out.append(("match" if a[i] == b[j] else "substitution", at_a + i, at_b + j))
+        elif i and here == cost[i - 1, j] + 1:
             i -= 1
-            out.append(("deletion", i, -1))
+            out.append(("deletion", at_a + i, -1))
         else:
             j -= 1
-            out.append(("insertion", -1, j))
+            out.append(("insertion", -1, at_b + j))
     return out[::-1]
 
 
+def align(reference, hypothesis) -> list[tuple[str, int, int]]:
+    """(op, reference place, hypothesis place) of a cheapest alignment of two sequences; -1: none.
+
+    Of equal costs, from the end, substitution before deletion before insertion; pairs of more than CELLS places are
+    halved before, which may choose another alignment of the same cost.
+    """
+    return _trace(*_codes(reference, hypothesis), 0, 0)
+
+
 ALIGNMENT = "array<struct<op:string,ref:string,hyp:string,ref_at:int,hyp_at:int,before:string,after:string>>"
 
 

@@ -230,9 +230,9 @@ def redacted_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^\\s*[=+\\-@\\t\\r]') THEN '''' || left(text, 20) ELSE left(text, 20) END AS cell FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^\\s*[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM conversations")
 def spreadsheet_cells(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.spreadsheet_cell(F.left("text", F.lit(20))).alias("cell"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.spreadsheet_cell(F.col("text")).alias("cell"))
 
 
 @query("SELECT doc_id, chunk, digest, row_number() OVER (PARTITION BY digest ORDER BY doc_id, chunk) > 1 AS seen FROM (SELECT doc_id, c::INT AS chunk, sha256(substr(text, c * 1000 + 1, 1000)) AS digest FROM documents, unnest(range(greatest(ceil(length(text) / 1000.0)::INT, 1))) u(c))")
@@ -253,24 +253,29 @@ def document_profile(spark, sf_dir):
 _DIMENSIONS = ["model_id", "profile", "turn"]
 
 
-@query(f"WITH {RECOGNIZED} SELECT page_id, round(cer, 6) AS cer, round(wer, 6) AS wer, exact, empty FROM e")
+@query(f"WITH {RECOGNIZED} SELECT page_id, round(cer, 6) AS cer, exact, empty FROM e")
 def turn_cer(spark, sf_dir):
-    return rounded(measured(spark, sf_dir).select("page_id", "cer", "wer", "exact", "empty"), "cer", "wer")
+    return rounded(measured(spark, sf_dir).select("page_id", "cer", "exact", "empty"), "cer")
 
 
-_MEASURES = "count(*) AS pages, round(avg(cer), 6) AS mean_cer, round(avg(wer), 6) AS mean_wer, round(quantile_cont(cer, 0.5), 6) AS p50_cer, round(quantile_cont(cer, 0.9), 6) AS p90_cer, round(quantile_cont(cer, 0.95), 6) AS p95_cer, round(max(cer), 6) AS max_cer, round(avg(exact), 6) AS exact_rate"
+@query()
+def turn_wer(spark, sf_dir):
+    return rounded(measured(spark, sf_dir).select("page_id", "wer"), "wer")
+
+
+_MEASURES = "count(*) AS pages, round(avg(cer), 6) AS mean_cer, round(quantile_cont(cer, 0.5), 6) AS p50_cer, round(quantile_cont(cer, 0.9), 6) AS p90_cer, round(quantile_cont(cer, 0.95), 6) AS p95_cer, round(max(cer), 6) AS max_cer, round(avg(exact), 6) AS exact_rate"
 
 
 @query(f"WITH {RECOGNIZED} SELECT 'overall' AS dimension, 'all' AS value, {_MEASURES} FROM e " + " ".join(f"UNION ALL SELECT '{d}', CAST({d} AS VARCHAR), {_MEASURES} FROM e GROUP BY {d}" for d in _DIMENSIONS))
 def cer_by_dimension(spark, sf_dir):
     x = evaluate.by_each_dimension(measured(spark, sf_dir), _DIMENSIONS)
-    x = x.select("dimension", "value", "pages", "mean_cer", "mean_wer", "p50_cer", "p90_cer", "p95_cer", "max_cer", "exact_rate")
-    return rounded(x, "mean_cer", "mean_wer", "p50_cer", "p90_cer", "p95_cer", "max_cer", "exact_rate")
+    x = x.select("dimension", "value", "pages", "mean_cer", "p50_cer", "p90_cer", "p95_cer", "max_cer", "exact_rate")
+    return rounded(x, "mean_cer", "p50_cer", "p90_cer", "p95_cer", "max_cer", "exact_rate")
 
 
-@query(f"WITH {RECOGNIZED} SELECT profile, count(*) AS count, round(avg(cer), 6) AS mean_cer, round(avg(wer), 6) AS mean_wer FROM e GROUP BY profile")
+@query(f"WITH {RECOGNIZED} SELECT profile, count(*) AS count, round(avg(cer), 6) AS mean_cer FROM e GROUP BY profile")
 def error_summary_by_profile(spark, sf_dir):
-    return rounded(evaluate.error_summary(measured(spark, sf_dir), "profile"), "mean_cer", "mean_wer")
+    return rounded(evaluate.error_summary(measured(spark, sf_dir), "profile").drop("mean_wer"), "mean_cer")
 
 
 @query(f"WITH {RECOGNIZED} SELECT page_id, round(cer, 6) AS cer FROM e ORDER BY e.cer DESC, page_id LIMIT 25")
@@ -283,14 +288,14 @@ def best_pages(spark, sf_dir):
     return rounded(evaluate.best(measured(spark, sf_dir).select("page_id", "cer"), "cer", 25), "cer")
 
 
-@query(f"WITH {RECOGNIZED} SELECT page_id, 'cer' AS metric_name, round(cer, 6) AS value FROM e UNION ALL SELECT page_id, 'wer', round(wer, 6) FROM e UNION ALL SELECT page_id, 'exact', exact::DOUBLE FROM e")
+@query(f"WITH {RECOGNIZED} SELECT page_id, 'cer' AS metric_name, round(cer, 6) AS value FROM e UNION ALL SELECT page_id, 'exact', exact::DOUBLE FROM e")
 def metric_unpivot(spark, sf_dir):
-    return rounded(evaluate.unpivot_metrics(measured(spark, sf_dir), ["page_id"], ["cer", "wer", "exact"]), "value")
+    return rounded(evaluate.unpivot_metrics(measured(spark, sf_dir), ["page_id"], ["cer", "exact"]), "value")
 
 
-@query(f"WITH {RECOGNIZED}, u AS (SELECT model_id, 'cer' AS metric_name, cer AS value FROM e UNION ALL SELECT model_id, 'wer', wer FROM e) SELECT model_id, metric_name, round(avg(value), 6) AS value, count(*) AS pages FROM u GROUP BY ALL")
+@query(f"WITH {RECOGNIZED}, u AS (SELECT model_id, 'cer' AS metric_name, cer AS value FROM e UNION ALL SELECT model_id, 'exact', exact FROM e) SELECT model_id, metric_name, round(avg(value), 6) AS value, count(*) AS pages FROM u GROUP BY ALL")
 def run_summary(spark, sf_dir):
-    return rounded(evaluate.run_summary(evaluate.unpivot_metrics(measured(spark, sf_dir), ["model_id"], ["cer", "wer"]), "model_id"), "value")
+    return rounded(evaluate.run_summary(evaluate.unpivot_metrics(measured(spark, sf_dir), ["model_id"], ["cer", "exact"]), "model_id"), "value")
 
 
 @query(f"WITH {RECOGNIZED}, n AS (SELECT model_id, cer, row_number() OVER (PARTITION BY model_id ORDER BY cer) - 1 AS i, count(*) OVER (PARTITION BY model_id) AS n FROM e) SELECT model_id, round(cer, 6) AS nearest_rank FROM n WHERE i = round_even(0.9 * (n - 1), 0)")
@@ -325,14 +330,14 @@ def run_status(spark, sf_dir):
 
 @query()
 def alignment_errors(spark, sf_dir):
-    x = recognized(spark, sf_dir).where("conv_id % 5 = 0").select(edit.alignment()("reference", "prediction").alias("edits"))
+    x = recognized(spark, sf_dir).select(edit.alignment()("reference", "prediction").alias("edits"))
     e = x.select(F.explode("edits").alias("e"))
     return e.groupBy("e.op", edit.character_error(F.col("e.ref"), F.col("e.hyp")).alias("category")).agg(F.count("*").alias("count"))
 
 
 @query()
 def top_substitutions(spark, sf_dir):
-    x = recognized(spark, sf_dir).where("turn % 4 = 1").select(edit.alignment()("reference", "prediction").alias("edits"))
+    x = recognized(spark, sf_dir).select(edit.alignment()("reference", "prediction").alias("edits"))
     return evaluate.top_substitutions(x, "edits")
 
 
@@ -663,12 +668,12 @@ def running_usage(spark, sf_dir):
     return rounded(records.running_usage(x, ["user_id", "day"], "ts", "event_id", ["value"]).select("event_id", "used_value"), "used_value")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k, o_orderstatus AS c, 1 AS v FROM orders WHERE o_orderkey % 3 = 0), e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE o_orderstatus END AS c FROM orders WHERE o_orderkey % 5 = 0)
-SELECT k, c AS content, v AS version FROM s UNION ALL SELECT e.k, e.c, coalesce(s.v, 0) + 1 FROM e LEFT JOIN s ON s.k = e.k WHERE s.k IS NULL OR s.c <> e.c""")
+@query("""SELECT o_orderkey AS k, o_orderstatus AS content, 1 AS version FROM orders UNION ALL SELECT o_orderkey, 'Z', 2 FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def manifest_upsert(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    store = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("content"), F.lit(1).alias("version"))
-    entries = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("content"))
+    """Every order is written twice; urgent ones have other content the second time."""
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k")
+    store = o.select("k", F.col("o_orderstatus").alias("content"), F.lit(1).alias("version"))
+    entries = o.select("k", F.when(F.col("o_orderpriority") == "1-URGENT", "Z").otherwise(F.col("o_orderstatus")).alias("content"))
     return records.upsert(store, entries, "k", "version_new")
 
 

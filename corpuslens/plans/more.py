@@ -65,13 +65,13 @@ def agreement(spark, sf_dir):
 
 @query()
 def edit_counts(spark, sf_dir):
-    x = recognized(spark, sf_dir).where("conv_id % 5 = 0").select("page_id", edit.edit_counts(edit.alignment()("reference", "prediction")).alias("n"))
+    x = recognized(spark, sf_dir).select("page_id", edit.edit_counts(edit.alignment()("reference", "prediction")).alias("n"))
     return x.select("page_id", "n.*")
 
 
 @query()
 def word_error_totals(spark, sf_dir):
-    x = recognized(spark, sf_dir).where("conv_id % 5 = 0").select(F.explode(edit.alignment(words=True)("reference", "prediction")).alias("e"))
+    x = recognized(spark, sf_dir).select(F.explode(edit.alignment(words=True)("reference", "prediction")).alias("e"))
     return x.groupBy("e.op", edit.word_error(F.col("e.ref"), F.col("e.hyp")).alias("category")).agg(F.count("*").alias("count"))
 
 
@@ -141,9 +141,9 @@ def marked_rows(spark, sf_dir):
     return samples(spark, sf_dir).groupBy(protection.marks_protected(F.col("source_split")).alias("flagged")).agg(F.count("*").alias("rows"))
 
 
-@query("SELECT page_id, substr(sha256(reference), 1, 16) AS truth, metric_name, value FROM (SELECT conv_id || ':' || turn AS page_id, left(text, 50) AS reference, unnest(['length', 'turn']) AS metric_name, unnest([length(left(text, 50))::DOUBLE, turn::DOUBLE]) AS value FROM conversations)")
+@query("SELECT page_id, substr(sha256(reference), 1, 16) AS truth, metric_name, value FROM (SELECT conv_id || ':' || turn AS page_id, text AS reference, unnest(['length', 'turn']) AS metric_name, unnest([length(text)::DOUBLE, turn::DOUBLE]) AS value FROM conversations)")
 def evaluation_tables(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.left("text", F.lit(50)).alias("reference"), F.lit("").alias("prediction"), F.col("role").alias("model_id"), F.length(F.left("text", F.lit(50))).alias("length"), "turn")
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), F.col("text").alias("reference"), F.lit("").alias("prediction"), F.col("role").alias("model_id"), F.length("text").alias("length"), "turn")
     t = files.evaluation_rows(c, "run", ["length", "turn"])
     return t["metrics"].join(t["truth"], "page_id").select("page_id", F.substring("raw_text_sha256", 1, 16).alias("truth"), "metric_name", "value")
 
@@ -197,10 +197,10 @@ def text_issues(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", csv(decisions.text_issues(F.col("text"), F.lit(True))).alias("issues"))
 
 
-@query("SELECT conv_id AS page_id, string_agg(CASE WHEN turn % 2 = 1 AND turn * 7 % 5 > conv_id % 5 THEN upper(left(role, 3)) ELSE left(role, 3) END, chr(10) ORDER BY turn) AS text, count(*) FILTER (WHERE turn % 2 = 1 AND turn * 7 % 5 > conv_id % 5) AS replaced FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS page_id, string_agg(CASE WHEN turn % 2 = 1 AND turn * 7 % 5 > conv_id % 5 THEN upper(role) ELSE role END, chr(10) ORDER BY turn) AS text, count(*) FILTER (WHERE turn % 2 = 1 AND turn * 7 % 5 > conv_id % 5) AS replaced FROM conversations GROUP BY 1")
 def reread_regions(spark, sf_dir):
     t = F.col("turn")
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), t.alias("region"), F.left("role", F.lit(3)).alias("first"), F.when(t % 2 == 1, F.upper(F.left("role", F.lit(3)))).otherwise("").alias("second"), (F.col("conv_id") % 5).alias("confidence"), (t * 7 % 5).alias("second_confidence"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), t.alias("region"), F.col("role").alias("first"), F.when(t % 2 == 1, F.upper("role")).otherwise("").alias("second"), (F.col("conv_id") % 5).alias("confidence"), (t * 7 % 5).alias("second_confidence"))
     return decisions.reread(c)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import identity
+from corpuslens.functions.edit import spread, with_page_metrics
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,36 +40,28 @@ gk AS (SELECT *, coalesce(source_id || ':group:' || group_id, source_id || ':' |
 
 
 def recognized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as pages with a reference (ASCII, as DuckDB's edit distance counts bytes), and a prediction with errors of a known kind."""
+    """Turns of conversations as pages with a reference (other than ASCII as '?', since DuckDB's edit distance counts bytes), and a prediction with errors of a known kind."""
     t = F.col("turn")
     x = table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string")).alias("page_id"), F.col("conv_id"), t, F.col("role").alias("model_id"), F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")).alias("profile"),
-        F.left(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit(160)).alias("reference"), (F.col("conv_id") % 17 * 0.5).alias("seconds"),
+        F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("reference"), (F.col("conv_id") % 17 * 0.5).alias("seconds"),
         F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("gaussian_blur"))).when(F.col("conv_id") % 4 == 1, F.array(F.lit("rotation"), F.lit("jpeg_compression"))).alias("distortions"),
     )
     r = F.col("reference")
-    guess = F.when(t % 4 == 0, r).when(t % 4 == 1, F.replace(r, F.lit("e"), F.lit("a"))).when(t % 4 == 2, F.left(r, F.lit(120))).otherwise(F.replace(r, F.lit(" "), F.lit("")))
-    return x.withColumn("prediction", guess)
+    guess = F.when(t % 4 == 0, r).when(t % 4 == 1, F.replace(r, F.lit("e"), F.lit("a"))).when(t % 4 == 2, F.left(r, F.floor(F.length(r) * 3 / 4).cast("int"))).otherwise(F.replace(r, F.lit(" "), F.lit("")))
+    return spread(x.withColumn("prediction", guess), "page_id")
 
 
-RECOGNIZED = r"""r AS (SELECT conv_id || ':' || turn AS page_id, conv_id, turn, role AS model_id, 'p' || (conv_id % 3) AS profile, left(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 160) AS reference, conv_id % 17 * 0.5::DOUBLE AS seconds,
+RECOGNIZED = r"""r AS (SELECT conv_id || ':' || turn AS page_id, conv_id, turn, role AS model_id, 'p' || (conv_id % 3) AS profile, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS reference, conv_id % 17 * 0.5::DOUBLE AS seconds,
   CASE conv_id % 4 WHEN 0 THEN ['gaussian_blur'] WHEN 1 THEN ['rotation', 'jpeg_compression'] END AS distortions FROM conversations),
-p AS (SELECT *, CASE turn % 4 WHEN 0 THEN reference WHEN 1 THEN replace(reference, 'e', 'a') WHEN 2 THEN left(reference, 120) ELSE replace(reference, ' ', '') END AS prediction FROM r),
-w AS (SELECT *, list_filter(regexp_split_to_array(reference, '\s+'), lambda x: x <> '') AS rw, list_filter(regexp_split_to_array(prediction, '\s+'), lambda x: x <> '') AS pw FROM p),
-k AS (SELECT *, list_distinct(rw || pw) AS known FROM w),
-c AS (SELECT *, array_to_string(list_transform(rw, lambda x: chr((32 + list_position(known, x))::INT)), '') AS rc, array_to_string(list_transform(pw, lambda x: chr((32 + list_position(known, x))::INT)), '') AS pc FROM k),
+p AS (SELECT *, CASE turn % 4 WHEN 0 THEN reference WHEN 1 THEN replace(reference, 'e', 'a') WHEN 2 THEN left(reference, length(reference) * 3 // 4) ELSE replace(reference, ' ', '') END AS prediction FROM r),
 m AS (SELECT page_id, conv_id, turn, model_id, profile, seconds, distortions, reference, prediction,
-  CASE WHEN reference = prediction THEN 0.0::DOUBLE WHEN length(reference) = 0 THEN 1.0::DOUBLE ELSE levenshtein(reference, prediction) / length(reference)::DOUBLE END AS cer,
-  CASE WHEN reference = prediction THEN 0.0::DOUBLE WHEN len(rw) = 0 THEN (CASE WHEN len(pw) = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE ELSE levenshtein(rc, pc) / len(rw)::DOUBLE END AS wer FROM c),
-e AS (SELECT *, cer AS ncer, CASE WHEN reference = prediction THEN 1 ELSE 0 END AS exact, CASE WHEN trim(prediction) = '' THEN 1 ELSE 0 END AS empty FROM m)"""
+  CASE WHEN reference = prediction THEN 0.0::DOUBLE WHEN length(reference) = 0 THEN 1.0::DOUBLE ELSE levenshtein(reference, prediction) / length(reference)::DOUBLE END AS cer FROM p),
+e AS (SELECT *, CASE WHEN reference = prediction THEN 1 ELSE 0 END AS exact, CASE WHEN trim(prediction) = '' THEN 1 ELSE 0 END AS empty FROM m)"""
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpuslens.functions.edit import page_metrics
-
-    x = recognized(spark, sf_dir)
-    r, p = F.col("reference"), F.col("prediction")
-    return x.withColumn("_m", page_metrics(r, p, r, p)).select("*", *[F.col(f"_m.{c}") for c in ("cer", "wer", "ncer", "exact", "empty")]).drop("_m")
+    return with_page_metrics(recognized(spark, sf_dir))
 
 
 def analysed(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:

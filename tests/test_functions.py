@@ -93,6 +93,16 @@ def test_alignment_is_cheapest_and_complete(a, b):
     assert [i for _, i, _ in ops if i >= 0] == list(range(len(a))) and [j for _, _, j in ops if j >= 0] == list(range(len(b)))
 
 
+def test_long_pairs_are_halved(monkeypatch):
+    rng = random.Random(9)
+    a = "".join(rng.choices("abcd", k=400))
+    b = "".join(c for c in a if rng.random() > 0.1) + "xyz"
+    monkeypatch.setattr(edit, "CELLS", 500)
+    ops = edit.align(a, b)
+    assert sum(op != "match" for op, _, _ in ops) == distance(a, b)
+    assert [i for _, i, _ in ops if i >= 0] == list(range(len(a))) and [j for _, _, j in ops if j >= 0] == list(range(len(b)))
+
+
 def test_error_classes(spark):
     rows = [("a", "a"), ("ا", "أ"), ("ي", "ى"), ("ة", "ه"), ("1", "١"), ("ب", ""), ("", "x"), (" ", ""), (".", ","), ("ا", "a"), ("a", "A"), ("ب", "ت")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a string, b string")
