@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import Scratch, gram_hash, words_of
 
 WINDOW, SHINGLE = 10, 5
-#: So many windows (about 200 bytes each) at most are broadcast; beyond, the join shuffles.
+#: So many windows and item ids in them (about 200 bytes each) at most are broadcast, as counted; beyond, the joins shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -43,9 +43,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     scratch = Scratch(docs.sparkSession)
     windows = scratch.table(item_windows(benchmark, window))
     size = F.least(F.size("win"), F.lit(shingle))
-    count, lengths = windows.agg(F.count("*"), F.array_sort(F.collect_set(size))).first()
+    count, listed, lengths = windows.agg(F.count("*"), F.coalesce(F.sum(F.size("items").cast("long")), F.lit(0)), F.array_sort(F.collect_set(size))).first()
     lengths = lengths or [shingle]
-    small = F.broadcast if count <= BROADCAST_WINDOWS else lambda df: df
+    small = F.broadcast if count + listed <= BROADCAST_WINDOWS else lambda df: df
     tokens = windows.select("wid", "win", F.posexplode("win").alias("off", "first"))
     token = F.lit(None).cast("long")
     for k in lengths:
