@@ -1,4 +1,4 @@
-"""Content-addressed ids as column expressions. The prefixes, domains and lengths are fixed values of the data model."""
+"""Content-addressed ids as column expressions. The prefixes and lengths are fixed values of the data model."""
 
 from __future__ import annotations
 
@@ -9,15 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUL = "\x00"
-RAW_TEXT_DOMAIN = "clouda.text.raw.v1"
+#: A domain of our own; name another store's to get its digests.
+RAW_TEXT_DOMAIN = "corpuslens.text.raw.v1"
 
 
 def sample_id(source: Column, path: Column, key: Column) -> Column:
     return F.concat(F.lit("smp_"), F.substring(F.sha2(F.concat_ws(NUL, source, path, key), 256), 1, 20))
 
 
-def raw_text_sha256(text: Column) -> Column:
-    return F.sha2(F.concat(F.lit(RAW_TEXT_DOMAIN + NUL), text), 256)
+def raw_text_sha256(text: Column, domain: str = RAW_TEXT_DOMAIN) -> Column:
+    return F.sha2(F.concat(F.lit(domain + NUL), text), 256)
 
 
 def digest_id(prefix: str, length: int, domain: str, *parts: Column) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from corpuslens.functions import identity
 from corpuslens.operators.components import connected_components
 
-#: Text signatures.
-SEED, MERSENNE, NGRAM, LEAST_CHARS, PERMUTATIONS, BANDS, OWNER_CAP, NEAR, REVIEW = "clouda.quality.textdup.v1", 2**61 - 1, 4, 40, 128, 16, 20, 0.85, 0.70
+#: Text signatures; the seed is our own and a parameter of minhash_signatures().
+SEED, MERSENNE, NGRAM, LEAST_CHARS, PERMUTATIONS, BANDS, OWNER_CAP, NEAR, REVIEW = "corpuslens.textdup.v1", 2**61 - 1, 4, 40, 128, 16, 20, 0.85, 0.70
 #: Characters of the texts that are signed together.
 PIECE = 200_000
 #: Hamming limits of the three 64-bit hashes, and of likely pairs.
@@ -119,10 +119,10 @@ def _u64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
 
 
-def _permutations() -> list[tuple[int, int]]:
+def _permutations(seed: str = SEED) -> list[tuple[int, int]]:
     out = []
     for i in range(PERMUTATIONS):
-        d = hashlib.blake2b(f"{SEED}{i}".encode(), digest_size=16).digest()
+        d = hashlib.blake2b(f"{seed}{i}".encode(), digest_size=16).digest()
         out.append((int.from_bytes(d[:8], "big") % MERSENNE or 1, int.from_bytes(d[8:], "big") % MERSENNE))
     return out
 
@@ -137,9 +137,9 @@ def _mulmod(a: int, x: np.ndarray) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
-def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value") -> DataFrame:
+def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value", seed: str = SEED) -> DataFrame:
     """id, signature (array of PERMUTATIONS longs) and grams (sorted distinct 64-bit hashes of character 4-grams) of normalized texts of at least LEAST_CHARS characters."""
-    params = _permutations()
+    params = _permutations(seed)
 
     @F.pandas_udf("signature array<long>, grams array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
