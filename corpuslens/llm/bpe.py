@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuslens.llm.common import bound_batches, hash_slices, slices
 
-#: Bytes of pre-tokens of a chunk.
-CHUNK = 32 << 20
+#: Bytes of pre-tokens of a chunk; of the words of a bucket that are encoded at a time.
+CHUNK, PIECE = 32 << 20, 8 << 20
 #: White space as the tokenizer's pattern means it; Java's \s is ASCII only.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -145,7 +145,8 @@ PACKED = ["chunk", "is_doc", "doc_ids", "raw", "blob"]
 
 
 def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
-    """Packed words sorted by bucket: each distinct word of a bucket is encoded once, its ids go back to each chunk."""
+    """Packed words sorted by bucket: each distinct word of a bucket is encoded once, its ids go back to each chunk. Holds
+    a bucket's distinct words with their ids, and PIECE bytes of its chunks."""
 
     def run(batches):
         import tiktoken
@@ -153,11 +154,15 @@ def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
 
-        def flush(held):
+        def flush(held, known):
             parts = [_unpack(x["raw"], x["blob"], np.int32, np.int32, np.uint8) for x in held]
             sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
             coded = _binary(sizes, b"".join(p[2].tobytes() for p in parts)).dictionary_encode()
-            ids = [[i] if (i := table.get(w)) is not None else encode(w) for w in coded.dictionary.to_pylist()]
+            ids = []
+            for w in coded.dictionary.to_pylist():
+                if (x := known.get(w)) is None:
+                    x = known[w] = (i,) if (i := table.get(w)) is not None else tuple(encode(w))
+                ids.append(x)
             n = np.fromiter(map(len, ids), np.int32, len(ids))
             flat, first = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum())), np.cumsum(n, dtype=np.int64) - n
             index, lo = np.asarray(coded.indices, np.int64), 0
@@ -168,15 +173,18 @@ def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
                 raw, blob = _pack(at, n[w], _gather(flat, first[w], n[w].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([x["chunk"]]), pa.array([False]), none, pa.array([raw]), pa.array([blob])], PACKED)
 
-        held = []
+        bucket, held, size, known = None, [], 0, {}
         for batch in batches:
             for x in batch.to_pylist():
-                if held and held[0]["bucket"] != x["bucket"]:
-                    yield from flush(held)
-                    held = []
+                if held and (x["bucket"] != bucket or size >= PIECE):
+                    yield from flush(held, known)
+                    held, size = [], 0
+                if x["bucket"] != bucket:
+                    bucket, known = x["bucket"], {}
                 held.append(x)
+                size += x["raw"]
         if held:
-            yield from flush(held)
+            yield from flush(held, known)
 
     return run
 
