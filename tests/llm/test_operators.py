@@ -5,7 +5,6 @@ import random
 import struct
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,8 +165,6 @@ def test_bpe_equals_the_library(spark):
 
 def test_media(spark):
     df = media.feature(media.read_media(media.store_media(documents(spark))))
-    for r in df.collect():
-        pass
     got = sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in df.collect())
     want = [(str(d), len((t or "").encode()), len(p := media.payload_of((t or "").encode())), brute.sha(p), brute.crc(p[-64:])) for d, t in TEXTS]
     assert got == sorted(want)
