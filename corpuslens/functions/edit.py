@@ -68,8 +68,9 @@ def with_page_metrics(df: DataFrame, reference: str = "reference", prediction: s
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt over the cores by keys, before work that is quadratic in a text's length: a small table is one partition else."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    """The rows dealt over the cores by keys before heavy work on each, if they are in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
 
 
 def convert_error(value: Column, source: str, target: str) -> Column:

@@ -84,7 +84,7 @@ def dup_clusters(spark, sf_dir):
 
 @query()
 def near_text_pairs(spark, sf_dir):
-    s = samples(spark, sf_dir).select("sample_id", text.normalize(text.DEDUPE)("text")["value"].alias("value"))
+    s = edit.spread(samples(spark, sf_dir).select("sample_id", "text"), "sample_id").select("sample_id", text.normalize(text.DEDUPE)("text")["value"].alias("value"))
     return rounded(dedupe.near_text_pairs(dedupe.minhash_signatures(s)), "jaccard")
 
 
@@ -209,7 +209,7 @@ def duplicate_line_ratio(spark, sf_dir):
 
 @query()
 def corruption_score(spark, sf_dir):
-    x = table(spark, sf_dir, "documents").select("doc_id", text.corruption_profile(F.col("text")).alias("p"))
+    x = edit.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.corruption_profile(F.col("text")).alias("p"))
     x = x.select("doc_id", text.corruption_score(F.col("p")).alias("score"), text.corruption_flags(F.col("p")).alias("flags"))
     return rounded(x.select("doc_id", "score", csv("flags").alias("flags"), text.acceptance(F.col("score"), F.col("flags"))["reason"].alias("reason")), "score")
 
