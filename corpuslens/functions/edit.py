@@ -67,10 +67,11 @@ def with_page_metrics(df: DataFrame, reference: str = "reference", prediction: s
     )
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt over the cores by keys before heavy work on each, if they are in fewer partitions than there are cores."""
+def spread(df: DataFrame, *keys: str, source: DataFrame | None = None) -> DataFrame:
+    """The rows dealt over the cores by keys before heavy work on each, if they are in fewer partitions than there are cores.
+    source: the scanned table behind df, if df has a shuffle, which counting its partitions would run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
+    return df if (source or df).rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
 
 
 def convert_error(value: Column, source: str, target: str) -> Column:
