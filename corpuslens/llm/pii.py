@@ -76,7 +76,7 @@ KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban, "", 0.8, r"(?i)iban|account|konto|cuenta|compte", 0.2, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, "-", 0.3, r"(?i)ssn|social security", 0.5, False),
 ]
-_BLOCK = 256
+_BLOCK, _PIECE = 256, 1024
 
 
 def _starts(before: Column, match: Column, i: Column) -> Column:
@@ -125,20 +125,51 @@ def span_list(columns: list[str]) -> Column:
     return F.array_join(F.transform(F.concat(*columns), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _tagged(kind: Kind, tag: Column) -> Callable[[Column], Column]:
-    return lambda x: F.when(kind.valid(x), tag).otherwise(x) if kind.valid else tag
+def _regions(df: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """Adds column regions: array of (start, end, tag), the merged union of the spans of all kinds, in order of start. Spans that only
+    touch stay apart. A region is named for the span that starts it: the longest of those, then the first in kinds."""
+    def ranked(rank: int, kind: Kind) -> Column:
+        tag = F.lit(f"[{kind.name.upper()}]")
+        return F.transform(f"s_{kind.name}", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), F.lit(rank).alias("rank"), tag.alias("tag")))
+
+    df = df.withColumn("spans", F.sort_array(F.concat(*[ranked(i, k) for i, k in enumerate(kinds)]))).drop(*[f"s_{k.name}" for k in kinds])
+    df = df.withColumn("ends", F.transform("spans", lambda s: -s["minus_end"]))
+    df = df.withColumn("most", F.transform(F.sequence(F.lit(0), F.floor(F.size("ends") / _BLOCK).cast("int")), lambda b: F.array_max(F.slice("ends", b * _BLOCK + 1, _BLOCK))))
+    df = df.withColumn("blocks", F.transform("most", lambda x, b: F.array_max(F.slice("most", F.lit(1), b))))
+
+    def reach(i: Column) -> Column:  # the largest end before span i, null for the first
+        first = i - i % _BLOCK
+        return F.greatest(F.get("blocks", F.floor(i / _BLOCK).cast("int")), F.array_max(F.slice("ends", first + 1, i - first)))
+
+    df = df.withColumn("reach", F.transform("ends", lambda x, i: reach(i)))  # blocks is read below too, else it is computed for each i
+    df = df.withColumn("heads", F.filter(F.transform("spans", lambda s, i: F.when(s["start"] >= F.coalesce(F.get("reach", i), F.lit(0)), i)), lambda i: i.isNotNull()))
+
+    def region(h: Column, j: Column) -> Column:
+        head = F.get("spans", h)
+        end = F.coalesce(F.get("reach", F.get("heads", j + 1)), F.greatest(F.element_at("blocks", -1), F.element_at("most", -1)))
+        return F.struct(head["start"].cast("int").alias("start"), end.cast("int").alias("end"), head["tag"].alias("tag"))
+
+    return df.withColumn("regions", F.transform("heads", region)).drop("spans", "ends", "most", "blocks", "reach", "heads")
+
+
+def _cut(a: Column, b: Column) -> Column:
+    """Characters a to b, exclusive, of the text whose pieces of _PIECE characters are in column pieces."""
+    at = lambda x: F.floor(x / _PIECE).cast("int")
+    part = lambda i, *of: F.coalesce(F.substr(F.get("pieces", i), *of), F.lit(""))
+    over = F.concat(part(at(a), a % _PIECE + 1), F.array_join(F.slice("pieces", at(a) + 2, at(b) - at(a) - 1), ""), part(at(b), F.lit(1), b % _PIECE))
+    return F.when(at(a) == at(b), part(at(a), a % _PIECE + 1, b - a)).otherwise(over)
 
 
 def mask_pii(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
-    """docs with each span of the kinds in column text replaced by [KIND], kind after kind; kinds that only context
-    could confirm are left. Null texts stay null; other columns are kept. One step per kind, linear in the text."""
-    text = F.col("text")
+    """docs with each span that find_pii() accepts in column text replaced by [KIND]; spans that overlap are one, see _regions().
+    Null texts stay null; other columns are kept. Near-linear in the text and its spans."""
+    names = docs.columns
+    own = [c if c == "text" else f"_{i}" for i, c in enumerate(names)]  # helper columns cannot clash
+    x = docs.toDF(*own)
     for kind in kinds:
-        if not kind.base and kind.score < ACCEPT:
-            continue
-        able = text.contains(kind.needs) if kind.needs else text.rlike("[0-9]")
-        tag = F.lit(f"[{kind.name.upper()}]")
-        found = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), _tagged(kind, tag))
-        pieces = F.zip_with(F.split(text, kind.pattern, -1), found, lambda part, hit: F.concat(part, F.coalesce(hit, F.lit(""))))
-        docs = docs.withColumn("text", F.when(able, F.array_join(pieces, "")).otherwise(text))
-    return docs
+        x = _find(x, kind, "text")
+    x = _regions(x, kinds)
+    x = x.withColumn("pieces", F.when(F.size("regions") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+    hidden = F.transform("regions", lambda r, j: F.concat(_cut(F.coalesce(F.get("regions", j - 1)["end"], F.lit(0)), r["start"]), r["tag"]))
+    rest = _cut(F.get("regions", F.size("regions") - 1)["end"], F.length("text"))
+    return x.withColumn("text", F.when(F.size("regions") > 0, F.concat(F.array_join(hidden, ""), rest)).otherwise(F.col("text"))).select(*own).toDF(*names)
