@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.functions import identity
-from corpuslens.operators.components import connected_components
+from corpuslens.operators.components import checkpointing, connected_components
 
 #: Text signatures; the seed is our own and a parameter of minhash_signatures().
 SEED, MERSENNE, NGRAM, LEAST_CHARS, PERMUTATIONS, BANDS, OWNER_CAP, NEAR, REVIEW = "corpuslens.textdup.v1", 2**61 - 1, 4, 40, 128, 16, 20, 0.85, 0.70
 #: Characters of the texts that are signed together.
 PIECE = 200_000
+#: Rows of a block of a bucket, and texts whose grams are compared at once.
+BLOCK, GRAM_BLOCK = 512, 128
 #: Hamming limits of the three 64-bit hashes, and of likely pairs.
 CONFIRMED, LIKELY, IMAGE_CAP = (8, 10, 10), 12, 4096
 
@@ -177,19 +179,82 @@ def band_buckets(signatures: DataFrame, bands: int = BANDS) -> DataFrame:
     return x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
 
 
+def _block_pairs(df: DataFrame, key: list[str], id_: str, *more: str, block: int | None = None) -> DataFrame:
+    """Rows (key, id_, size: rows of the key, more): each pair of different ids of a key once, as key, structs x and y (id_, more). Keys of
+    many rows are joined block by block, so that no task holds more than two blocks."""
+    n = F.ceil(F.col("size") / (block or BLOCK)).cast("int")
+    x = df.select(*key, F.struct(id_, *more).alias("s"), n.alias("n"), F.pmod(F.xxhash64(id_), n).cast("int").alias("at"))
+    left = x.select(*key, F.col("s").alias("x"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("n") - 1)).alias("j"))
+    right = x.select(*key, F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"))
+    return left.join(right, [*key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"x.{id_}") < F.col(f"y.{id_}"))).drop("i", "j")
+
+
+def _shared(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """The exact Jaccard similarity of pairs (a, b) of sets (same, grams): products of membership matrices, some grams at a time."""
+    if not len(pairs):
+        return pd.DataFrame({"a": [], "b": [], "jaccard": []})
+    size = np.array([len(g) for g in sets["grams"]])
+    gram, column, times = np.unique(np.concatenate(sets["grams"].to_list()), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    often = times[column] > 1
+    row, column = row[often], (np.cumsum(times > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((len(sets), len(sets))), 8192
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        of = slice(*np.searchsorted(column, [lo, lo + width]))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[of], column[of] - lo] = 1
+        both += m @ m.T
+    at = pd.Series(np.arange(len(sets)), sets["same"])
+    a, b = at[pairs["a"]].to_numpy(), at[pairs["b"]].to_numpy()
+    return pd.DataFrame({"a": pairs["a"].to_numpy(), "b": pairs["b"].to_numpy(), "jaccard": both[a, b] / (size[a] + size[b] - both[a, b])})
+
+
 def near_text_pairs(signatures: DataFrame, bands: int = BANDS, cap: int = OWNER_CAP, near: float = NEAR, review: float = REVIEW) -> DataFrame:
-    """Pairs a < b of buckets with at most cap members, by exact Jaccard similarity of their grams: near or review. Larger buckets are
-    skipped, as the data model demands, and listed by skipped_buckets()."""
-    x = band_buckets(signatures, bands).where(F.col("size") <= cap)
-    pairs = x.select("band", "bucket", F.col("id").alias("a")).join(x.select("band", "bucket", F.col("id").alias("b")), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
-    g = lambda n: signatures.select(F.col("id").alias(n), F.col("grams").alias(f"g{n}"))
-    pairs = pairs.join(g("a"), "a").join(g("b"), "b")
-    score = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    x = pairs.select("a", "b", score.alias("jaccard"))
+    """All pairs a < b that share a bucket, by exact Jaccard similarity of their grams: near or review.
+
+    Equal sets of grams are compared once, and their pairs are those of their members. A pair of sets is taken in the first band it
+    shares. Pairs of buckets with more than cap sets are compared block by block, the others one by one; none is skipped.
+    The number of pairs grows with the square of a group of copies.
+    """
+    checkpointing(signatures.sparkSession)
+    rows = PERMUTATIONS // bands
+    keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
+    known = signatures.withColumn("same", F.sha2(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","), 256))
+    every = known.select("id", "same", keys.alias("keys"), F.size("grams").alias("n")).checkpoint()
+    sets = every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"))
+    x = sets.select("same", "keys", "n", F.posexplode("keys").alias("band", "bucket"))
+    x = x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
+    pairs = _block_pairs(x, ["band", "bucket"], "same", "keys", "n", "size")
+    before = lambda s: F.slice(f"{s}.keys", F.lit(1), F.col("band"))
+    pairs = pairs.where(~F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda e: e))
+    pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= review)  # a bound of the similarity
+    pairs = pairs.select(F.col("x.same").alias("a"), F.col("y.same").alias("b"), (F.col("x.size") > cap).alias("many")).checkpoint()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+    grams = known.select("same", "grams").join(used, "same", "left_semi").dropDuplicates(["same"]).checkpoint()
+
+    g = lambda n: grams.select(F.col("same").alias(n), F.col("grams").alias(f"g{n}"))
+    few = pairs.where("NOT many").join(g("a"), "a").join(g("b"), "b")
+    few = few.select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("jaccard"))
+
+    many = pairs.where("many").select("a", "b")
+    n = F.lit(max(1, -(-many.select(F.explode(F.array("a", "b")).alias("same")).distinct().count() // GRAM_BLOCK)))
+    at = lambda c: F.pmod(F.xxhash64(c), n)
+    many = many.select("a", "b", F.least(at("a"), at("b")).alias("i"), F.greatest(at("a"), at("b")).alias("j"))
+    sides = many.select("i", "j", F.explode(F.array("a", "b")).alias("same")).distinct().join(grams, "same").toDF("same", "si", "sj", "grams")
+    many = many.groupBy("i", "j").cogroup(sides.groupBy("si", "sj")).applyInPandas(_shared, "a string, b string, jaccard double")
+
+    member = lambda n: every.select(F.col("same").alias(n), F.col("id").alias(f"id_{n}"))
+    across = few.union(many).where(F.col("jaccard") >= review).join(member("a"), "a").join(member("b"), "b")
+    across = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
+    copies = _block_pairs(every.select("same", "id").join(sets.where("size > 1").select("same", "size"), "same"), ["same"], "id")
+    x = across.union(copies.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(1.0).alias("jaccard")))
     return x.select("a", "b", "jaccard", F.when(F.col("jaccard") >= near, "near").when(F.col("jaccard") >= review, "review").alias("level")).where("level IS NOT NULL")
 
 
 def skipped_buckets(signatures: DataFrame, bands: int = BANDS, cap: int = OWNER_CAP) -> DataFrame:
+    """The buckets that the survey's DUP-9 skips; near_text_pairs() compares them too."""
     return band_buckets(signatures, bands).where(F.col("size") > cap).select("band", "bucket", "size").distinct()
 
 
@@ -207,12 +272,11 @@ def near_level(p: Column, d: Column, a: Column) -> Column:
 
 
 def fingerprint_pairs(df: DataFrame, cap: int = IMAGE_CAP) -> DataFrame:
-    """Rows (id, phash, dhash, ahash: longs, aspect): pairs that agree in one of twelve 16-bit bands and the aspect; buckets of cap and more are skipped."""
+    """Rows (id, phash, dhash, ahash: longs, aspect): all pairs that agree in one of twelve 16-bit bands and the aspect; buckets of more than cap rows by blocks of as many."""
     bands = [F.struct(F.lit(4 * n + i).alias("band"), F.shiftright(F.col(h), 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("bits")) for n, h in enumerate(("phash", "dhash", "ahash")) for i in range(4)]
-    x = df.select("*", F.explode(F.array(*bands)).alias("k")).select("id", "phash", "dhash", "ahash", "aspect", "k.band", "k.bits")
-    full = x.groupBy("band", "bits", "aspect").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") < cap)).drop("n")
-    keep = x.join(full, ["band", "bits", "aspect"])
-    pairs = keep.select("band", "bits", "aspect", F.col("id").alias("a")).join(keep.select("band", "bits", "aspect", F.col("id").alias("b")), ["band", "bits", "aspect"]).where("a < b").select("a", "b").distinct()
+    x = df.select("id", "aspect", F.explode(F.array(*bands)).alias("k")).select("id", "aspect", "k.band", "k.bits")
+    x = x.join(x.groupBy("band", "bits", "aspect").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bits", "aspect"])
+    pairs = _block_pairs(x, ["band", "bits", "aspect"], "id", block=cap).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     side = lambda s: df.select(F.col("id").alias(s), *[F.col(h).alias(f"{h}_{s}") for h in ("phash", "dhash", "ahash")])
     x = pairs.join(side("a"), "a").join(side("b"), "b")
     d = [hamming(F.col(f"{h}_a"), F.col(f"{h}_b")).alias(n) for h, n in (("phash", "d_p"), ("dhash", "d_d"), ("ahash", "d_a"))]

@@ -47,6 +47,35 @@ def test_minhash_equals_plain_arithmetic(spark):
         assert got[i] == [min((a * x + b) % dedupe.MERSENNE for x in grams) for a, b in dedupe._permutations()]
 
 
+def test_near_text_pairs_of_large_groups(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedupe, "BLOCK", 8)
+    monkeypatch.setattr(dedupe, "GRAM_BLOCK", 16)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    copy, base, other = (" ".join(word() for _ in range(60)) for _ in range(3))
+    texts = [copy] * 25 + [base + f" {word()}" for _ in range(40)] + [copy + f" {word()}" for _ in range(3)] + [other, other, other + " end"] + [" ".join(word() for _ in range(40)) for _ in range(10)]
+    texts += [" ".join(w if rng.random() > 0.04 else word() for w in base.split()) for _ in range(30)]
+    rng.shuffle(texts)
+    signed = dedupe.minhash_signatures(spark.createDataFrame([(f"s{i:03}", t) for i, t in enumerate(texts)], "sample_id string, value string"))
+    have = sorted((r.id, r.signature, set(r.grams)) for r in signed.collect())
+    width, want = dedupe.PERMUTATIONS // dedupe.BANDS, []
+    for i, (a, x, g) in enumerate(have):
+        for b, y, h in have[i + 1 :]:
+            if any(x[k : k + width] == y[k : k + width] for k in range(0, len(x), width)) and len(g & h) / len(g | h) >= dedupe.REVIEW:
+                want.append((a, b, round(len(g & h) / len(g | h), 9), "near" if len(g & h) / len(g | h) >= dedupe.NEAR else "review"))
+    got = [(r.a, r.b, round(r.jaccard, 9), r.level) for r in dedupe.near_text_pairs(signed).orderBy("a", "b").collect()]
+    assert got == want and len(want) > 300 + 40 * 39 // 2 and {x[3] for x in want} == {"near", "review"}
+    assert dedupe.near_text_pairs(signed.limit(0)).count() == 0
+
+
+def test_fingerprints_of_large_buckets(spark):
+    df = spark.range(30).selectExpr("id", "id AS phash", "id * 7 AS dhash", "0L AS ahash", "'1:1' AS aspect")
+    got = [(r.a, r.b) for r in dedupe.fingerprint_pairs(df, cap=4).orderBy("a", "b").collect()]
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_hamming_pairs_miss_nothing(spark):
     import random
 
