@@ -557,10 +557,15 @@ def corpus_stats(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"), F.count_distinct("lang").alias("languages"))
 
 
+#: Texts of a block of short items, and short items that are broadcast.
+_SHORT, _FEW = 256, 100_000
+
+
 @query("SELECT i.item_id, count(d.doc_id) AS documents FROM benchmark i LEFT JOIN documents d ON contains(d.text, i.text) GROUP BY 1")
 def benchmark_contamination(spark, sf_dir):
     """Documents that hold an item's whole text. A document holds an item only if it holds all the item's inner words (those
-    between two separators, which no neighbour can extend); the rarest of them is joined, and the texts are compared."""
+    between two separators, which no neighbour can extend); the rarest of them is joined, and the texts are compared. Items
+    without an inner word are compared with every document, in blocks."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     inner = F.explode(F.array_distinct(F.slice(F.split("text", "[ \\n]"), F.lit(2), F.greatest(F.size(F.split("text", "[ \\n]")) - 2, F.lit(0)))))
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("word"))
@@ -570,6 +575,12 @@ def benchmark_contamination(spark, sf_dir):
     pairs = words.join(anchor, "word").select("doc_id", "item_id").join(b.select("item_id", F.col("text").alias("item")), "item_id")
     pairs = pairs.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "item"))
     n = pairs.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+    short = b.where("text IS NOT NULL").join(wanted.select("item_id").distinct(), "item_id", "left_anti")
+    texts = short.select("text").distinct()
+    if many := texts.count():
+        blocks = texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(-(-many // _SHORT)))).agg(F.collect_list("text").alias("items")).select("items")
+        held = d.crossJoin(F.broadcast(blocks) if many <= _FEW else blocks).select("doc_id", F.explode(F.filter("items", lambda i: F.contains("text", i))).alias("text"))
+        n = n.union(short.select("item_id", "text").join(held.groupBy("text").agg(F.count("doc_id").alias("documents")), "text").select("item_id", "documents"))
     return b.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 

@@ -12,3 +12,12 @@ def test_query_equals_its_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_without_sql_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() >= 0
+
+
+def test_contamination_by_short_items(spark, tmp_path):
+    texts = ["one two three four", "two", "x two  three y", "", "twos", None, "a\nb", "three four five six"]
+    items = ["", "two", "o three", "two three", "two three four", "none", "no no", "two  three", None, "a\nb", "four", " two", "ten of these words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.documents for r in catalogue.benchmark_contamination(spark, str(tmp_path)).collect()}
+    assert got == {i: sum(item is not None and t is not None and item in t for t in texts) for i, item in enumerate(items)} and got[0] == 7 and got[1] == 4
