@@ -9,9 +9,9 @@ The trees are learned on the driver from synthetic pages that synthetic_page() c
 known (bounded by PAGES), and sent to the tasks; no page of the input is used for learning.
 
 Defined results: null and empty pages give an empty text. Each row gives one row; null page_ids and repeated rows are
-kept. Broken markup is read as far as it goes: an unknown end tag is skipped, an unfinished tag is text. Character
-references are decoded; white space (Unicode's, line breaks included) inside a block becomes one space. Other columns
-are not read.
+kept. Broken markup is read as far as it goes: an unknown end tag is skipped, an unfinished tag is text. Text
+outside all elements belongs to the page itself, which is always kept. Character references are decoded; white space
+(Unicode's, line breaks included) inside a block becomes one space. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -421,7 +421,7 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
         at += n
         blocks: dict[int, list[str]] = {}
         for node, block, text in page.texts:
-            if kept[node] and node:
+            if kept[node]:
                 blocks.setdefault(block, []).append(text)
         joined = (" ".join("".join(parts).split()) for parts in blocks.values())
         out.append("\n\n".join(x for x in joined if x))

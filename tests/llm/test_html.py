@@ -57,3 +57,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", PAGE), (4, "u", PAGE), (None, "u", "<p>" * 2000 + "deep")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = x.extract_pages(df)
     assert got.count() == 6 and {r.page_id: r.text for r in got.collect()}[1] == "" and x.extract_pages(df.limit(0)).count() == 0
+
+
+def test_text_outside_all_elements_is_kept(spark):
+    pages = {"plain text only": "plain text only", "a < b & <unfinished": "a < b & <unfinished", "Intro <b>x</b> rest of the article": "rest of the article", PAGE + " text after the end": "text after the end"}
+    df = spark.createDataFrame([(i, "u", source) for i, source in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in x.extract_pages(df).collect()}
+    assert got[0] == "plain text only" and got[1] == "a < b & <unfinished"
+    assert got[2].startswith("Intro ") and got[2].endswith("rest of the article")
+    assert got[3].endswith("text after the end") and "First" in got[3] and "Sponsored" not in got[3]
