@@ -9,8 +9,9 @@ doc_id, weighted to the labels' true numbers, which are counted over all rows. R
 are held out. Scoring reads every whole text; labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without words. Rows with null labels or doc_ids teach
-nothing; of several labels of a doc_id the largest counts. Without any labelled row of one kind, the score is the
-smoothed share of toxic rows. Each row of the input gives one row.
+nothing; of several labels of a doc_id the largest counts, of its several texts the smallest one teaches. Without any
+labelled row of one kind, the score is the smoothed share of toxic rows. Each row of the input gives one row, and equal
+texts have equal scores, whatever stands beside them.
 """
 
 from __future__ import annotations
@@ -66,11 +67,11 @@ def _terms(column, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarr
         count = np.bincount(row, minlength=hi - lo)
         rows.append(np.arange(hi - lo) + lo)
         places.append(_place(mix(np.floor(np.log2(count + 1)).clip(0, SIZES).astype(np.uint64) + np.uint64(1)), 0))
-        for end_ in (end, *(np.minimum(start + p, end) for p in PREFIXES)):
+        for kind, end_ in enumerate((end, *(np.minimum(start + p, end) for p in PREFIXES))):
             if not len(start):
                 continue
             # sorted by row and hash, runs are the terms and their lengths the counts
-            h = mix(hash_slices(data, start, end_) + np.uint64(1 + (end_ is not end) * int((end_ - start).max())))
+            h = mix(hash_slices(data, start, end_) + np.uint64(1 + kind))
             r = row
             if keep is not None:
                 some = np.zeros(len(h), bool)
@@ -106,9 +107,10 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     taken = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in sample.items()]
     taken = taken[0].unionByName(taken[1]).withColumnRenamed("doc_id", "label_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("toxic", "text")  # sum(sample) rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(taken), F.col("doc_id") == F.col("label_id"))
+    texts = texts.groupBy("label_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")  # a row per label, so sum(sample) at most
     got = texts.mapInArrow(_sample_terms, "toxic int, terms binary").toArrow().to_pydict()
-    # repeated rows of one doc_id are further examples; sorted, for the same model whatever the order of the rows
+    # sorted, for the same model whatever the order of the rows
     pairs = sorted(zip(got["toxic"], got["terms"]))
     return _learn(np.array([y for y, _ in pairs], np.int64), [np.frombuffer(x, np.int32) for _, x in pairs], count)
 
