@@ -16,6 +16,7 @@ outside all elements belongs to the page itself, which is always kept. Character
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
@@ -82,10 +83,18 @@ def parse(source: str) -> Page:
         over.append((over[up] if up >= 0 else 0) | bits[-1] | 1 << (BINS + tags[-1]))
         return len(parent) - 1
 
-    stack = [add("#page", "", -1)]
+    # open elements, and where in the stack those of each name and the blocks stand, so that no tag walks the stack
+    stack, where, blocks = [add("#page", "", -1)], {}, []
+
+    def last(name: str) -> int:
+        return where[name][-1] if where.get(name) else 0
 
     def pop_to(n: int) -> None:
-        del stack[n:]
+        while len(stack) > n:
+            name = names[stack.pop()]
+            where[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
 
     for m in _TOKEN.finditer(source):
         if m.start() > at:
@@ -98,33 +107,26 @@ def parse(source: str) -> Page:
         name = name.lower()
         is_block = name in BLOCKS
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if names[stack[i]] == name:
-                    pop_to(i)
-                    break
+            if i := last(name):
+                pop_to(i)
             block += is_block
             continue
         if name == "br":
             texts.append((stack[-1], block, " "))
         if is_block:
             block += 1
-            if name in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    n = names[stack[i]]
-                    if n == "p":
-                        pop_to(i)
-                    if n in BLOCKS:
-                        break
+            if name in ENDS_P and blocks and names[stack[blocks[-1]]] == "p":
+                pop_to(blocks[-1])
             if name in CLOSES:
                 closed, scope = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    n = names[stack[i]]
-                    if n in scope:
-                        break
-                    if n in closed.split():
-                        pop_to(i)
+                inner = max(map(last, scope))
+                if ends := [at_[i] for n in closed.split() if (at_ := where.get(n)) and (i := bisect.bisect_right(at_, inner)) < len(at_)]:
+                    pop_to(min(ends))
         node = add(name, m[4], stack[-1])
         if name not in VOID and not (m[4] and m[4].endswith("/") and name not in BLOCKS):
+            where.setdefault(name, []).append(len(stack))
+            if is_block:
+                blocks.append(len(stack))
             stack.append(node)
     if at < len(source):
         texts.append((stack[-1], block, html.unescape(source[at:])))
