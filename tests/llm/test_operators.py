@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import base64
+import math
 import random
 import struct
 
@@ -204,8 +205,22 @@ def test_sharding(spark):
 
 
 def test_communication_matrix_has_its_margins():
-    m = sharding.communication_matrix({0: 5, 1: 0, 2: 12}, sharding.shard_sizes(17, 4), 1)
-    assert [int(v.sum()) for v in m.values()] == [5, 0, 12] and sum(m.values()).tolist() == [5, 4, 4, 4]
+    for counts, shards in (([5, 0, 12], 4), ([7] * 9, 3), ([1], 2)):
+        before, sizes = np.cumsum([0, *counts]), sharding.shard_sizes(sum(counts), shards)
+        m = [sharding.matrix_row(before, p, sizes, 1) for p in range(len(counts))]
+        assert [int(v.sum()) for v in m] == counts and sum(m).tolist() == sizes.tolist() and min(map(min, m)) >= 0
+
+
+@pytest.mark.parametrize("good, bad, n", [(30, 50, 20), (5, 400, 100), (1, 3, 2), (600, 2, 300)])
+def test_large_hypergeometric_draws_follow_the_law(monkeypatch, good, bad, n):
+    monkeypatch.setattr(sharding, "NUMPY_MOST", 0)
+    rng = np.random.default_rng(9)
+    got = np.bincount([sharding._hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1) / 20_000
+    want = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)])
+    assert np.abs(got - want).max() < 5 * 0.5 / 20_000**0.5
+    monkeypatch.undo()
+    draws = np.array([sharding._hypergeometric(rng, 10**11, 3 * 10**11, 4000) for _ in range(400)])
+    assert abs(draws.mean() - 1000) < 5 * (750 / 400) ** 0.5 and abs(draws.var() / 750 - 1) < 0.4
 
 
 def test_toxicity_learns_pairs_and_ignores_other_columns(spark):
