@@ -54,10 +54,9 @@ def rotate(conversations: DataFrame) -> DataFrame:
     fixed = F.length(_head(F.col("speaker"), F.col("perspective"))) + len(END)
     sums = sums.groupBy("c", "perspective", "b").agg(F.sum("n").alias("bt"), F.sum(F.col("n") * fixed + F.col("chars")).alias("bs"))
     over = Window.partitionBy("c", "perspective").orderBy("b")
-    sums = sums.select("c", "b", F.struct("perspective", (F.sum("bt").over(over) - F.col("bt")).alias("t0"), (F.sum("bs").over(over) - F.col("bs")).alias("s0")).alias("of"))
-    sums = sums.groupBy("c", "b").agg(F.collect_list("of").alias("of"))  # a row per participant
+    sums = sums.select("c", "b", "perspective", (F.sum("bt").over(over) - F.col("bt")).alias("t0"), (F.sum("bs").over(over) - F.col("bs")).alias("s0"))
     x = x.repartition("c", "b").groupBy("c", "b", "conv_id", "turn", "speaker", "text").agg(F.count("*").alias("times"))
-    x = x.join(sums, ["c", "b"]).withColumn("of", F.explode("of")).select("c", "b", "conv_id", "turn", "speaker", "text", "times", "of.perspective", "of.t0", "of.s0")
+    x = x.join(sums, ["c", "b"])  # a block's turns with each participant, row by row: neither is gathered
     x = x.withColumn("head", _head(F.col("speaker"), F.col("perspective"))).withColumn("segment", F.concat("head", _escaped(F.col("text")), F.lit(END)))
     x = x.withColumn("size", F.length("segment").cast("long"))
     inside = Window.partitionBy("c", "b", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
