@@ -13,7 +13,7 @@ registers grows with the Jaccard similarity, so that bands of registers are buck
    compared, all with all, block by block, by the same estimate; clusters of components found close that way are
    compared on full sets. No candidate is dropped, and in a bucket of copies nothing is left to compare.
 
-A pair at the threshold is missed by all bands with a probability of about 1e-6 (see BANDS).
+A pair at the threshold is missed with a probability of a few in a million at most (see BANDS, MARGIN).
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows of one doc_id are one document
@@ -40,10 +40,12 @@ BASE, RATE, Q = 1.001, 20.0, 65534
 #: Bands of ROWS registers each. At similarity 0.8 all bands differ with probability (1 - 0.8**6)**42 = 3e-6, at 0.85 with 2e-9.
 ROWS, BANDS = 6, 42
 M = ROWS * BANDS
-#: Registers that are compared first; a pair is dropped if so few of them are equal as at the threshold happens once in 1e8.
-FIRST = 64
-#: An estimate's standard deviation is at most 0.032; pairs over 5 of them below the threshold go unverified.
-MARGIN = 5.0
+#: Registers that are compared first; a pair is dropped if fewer of them are equal than at the threshold happens once in 1e8.
+FIRST, RARELY = 64, 1e-8
+#: An estimate's standard deviation is at most that of the share of equal registers; pairs over 5.7 of them below the
+#: threshold (once in 1e8 at it) go unverified. So the three filters miss a pair at 0.85 with a probability of
+#: 2e-9 + 1e-8 + 1e-8, at 0.8 of 3e-6 + 1e-8 + 1e-8.
+MARGIN = 5.7
 #: Documents of a bucket that are compared with each other in one block; edges that are verified against one text in one go.
 BLOCK, FAN = 512, 512
 #: Bytes of text that are hashed at a time (a longer text alone); hashing takes some 40 bytes for each.
@@ -128,6 +130,14 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
+def least_equal(link: Link) -> int:
+    """The most of FIRST registers that fewer than so many agree with a probability of at most RARELY at the threshold: a binomial quantile."""
+    j, below, few = link.per_cent / 100, 0.0, 0
+    while (below := below + math.comb(FIRST, few) * j**few * (1 - j) ** (FIRST - few)) <= RARELY:
+        few += 1
+    return few
+
+
 def _least_estimate(link: Link) -> float:
     j = link.per_cent / 100
     return j - MARGIN * math.sqrt(j * (1 - j) / M)
@@ -252,8 +262,7 @@ def _near_pairs(first: list[dict], second: list[dict], least: float, link: Link)
     na, nb = (np.array([r["n"] for r in s], float) for s in (first, second))
     qa, qb = (np.array([r["root"] for r in s], np.int64) for s in (first, second))
     fa, fb = np.ascontiguousarray(ra[:, :FIRST]), np.ascontiguousarray(rb[:, :FIRST])
-    j = link.per_cent / 100
-    few = FIRST * j - (MARGIN + 0.5) * math.sqrt(FIRST * j * (1 - j))
+    few = least_equal(link)
     for lo in range(0, len(first), 16):
         part = slice(lo, lo + 16)
         able = (np.minimum(na[part, None], nb) * 100 >= np.maximum(na[part, None], nb) * link.per_cent) & (qa[part, None] != qb)
