@@ -6,8 +6,13 @@ once per place. The words of all chunks are shuffled by word: each distinct word
 rank file. The ids go back to the chunks that hold the word, meet the documents' position lists there, and the id
 sequences are put together by position. Both exchanges carry a chunk's distinct words, so no key is hot.
 
-A chunk's number is a hash of its content. The two branches of the plan compute it apart; if a recomputed task would
-ever cut its input differently, the words of a chunk would be missing and the job fails instead of giving wrong ids.
+A chunk's number is a hash of its place (partition, turn in it) and its content. The two branches of the plan cut the
+input apart, so the input must be a stored table, whose scans a repeated task cuts alike; what is not is stored first
+(parameter stored). Were a chunk ever cut differently, its words would be missing and the job fails instead of giving
+wrong ids.
+
+Decoding. The table of token bytes, which the vocabulary bounds, goes to every task, and each Arrow batch's ids are
+joined to it there by id, a map-side join on whole arrays: texts are not shuffled to be put together again.
 
 Defined results: null and empty texts encode to no ids and decode to no bytes. Each row of the input gives one row;
 null doc_ids and repeated rows are kept. Other columns are not read. Ids outside the table decode to an error.
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpuslens.llm.common import bound_batches, hash_slices, slices
+from corpuslens.llm.common import Scratch, bound_batches, hash_slices, slices
 
 #: Bytes of pre-tokens of a chunk; of the words of a bucket that are encoded at a time.
 CHUNK, PIECE = 32 << 20, 8 << 20
@@ -82,7 +87,7 @@ def _unpack(raw: int, blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
-    """Arrow batches of (doc_id, tokens, odd) to packed rows of chunks: the chunk's distinct words by bucket of the
+    """Arrow batches of (doc_id, part, tokens, odd) to packed rows of chunks: the chunk's distinct words by bucket of the
     word's hash (want 'words'), or its documents as places in the list of words (want 'docs')."""
 
     def run(batches):
@@ -90,10 +95,10 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
         import xxhash
 
         other = regex.compile(pattern)
-        codes, dictionaries, held = [], [], 0
+        codes, dictionaries, held, turn = [], [], 0, 0
         per_doc, doc_ids = [], []
 
-        def flush():
+        def flush(part):
             """The packed rows of the batches held, one chunk."""
             bases = _offsets([len(d) for d in dictionaries])
             joint = pa.concat_arrays(dictionaries).dictionary_encode()  # of the batches' words the chunk's
@@ -101,7 +106,8 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
             at = np.concatenate([place[b + c] for b, c in zip(bases, codes)])
             sizes, data = _parts(joint.dictionary)
             counts, ids = np.concatenate(per_doc), pa.concat_arrays(doc_ids)
-            digest = xxhash.xxh64(at.tobytes())
+            digest = xxhash.xxh64(np.array([part, turn]).tobytes())
+            digest.update(at.tobytes())
             digest.update(sizes.tobytes())
             digest.update(data.tobytes())
             chunk = int(np.uint64(digest.intdigest()).astype(np.int64))
@@ -131,12 +137,13 @@ def _cut(pattern: str, buckets: int, id_type: pa.DataType, want: str):
             per_doc.append(np.asarray(tokens.value_lengths().fill_null(0), np.int64))
             doc_ids.append(batch.column("doc_id").cast(id_type))
             held += tokens.nbytes
+            part = batch.column("part")[0].as_py() if len(batch) else -1
             if held >= CHUNK:
-                yield from flush()
-                codes, dictionaries, held = [], [], 0
+                yield from flush(part)
+                codes, dictionaries, held, turn = [], [], 0, turn + 1
                 per_doc, doc_ids = [], []
         if codes:
-            yield from flush()
+            yield from flush(part)
 
     return run
 
@@ -218,16 +225,22 @@ def _assemble(id_type: pa.DataType):
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of each row of docs (doc_id, text). ranks_path is read on the driver only."""
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, stored: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of each row of docs (doc_id, text). ranks_path is read on the driver only.
+
+    stored: docs is a scan of a stored table (columns may be computed from a row alone); else its two columns are written
+    to the shared folder first. A bucket of words is held by one task, so the number of shuffle partitions is to grow
+    with the corpus's distinct words, as for any aggregation by word.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
+    docs = docs.select("doc_id", "text") if stored else Scratch(spark).table(docs.select("doc_id", "text"), rows=None)
     with open(ranks_path, "rb") as f:
         ranks = f.read()  # bounded by the vocabulary
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = F.rlike(text, F.lit(r"\p{Cn}"))
     x = docs.select("doc_id", text.alias("text"), odd.alias("o"))
-    x = x.select("doc_id", F.when(F.col("o"), F.col("text")).alias("odd"), F.when(~F.col("o"), F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("tokens"))
+    x = x.select("doc_id", F.spark_partition_id().alias("part"), F.when(F.col("o"), F.col("text")).alias("odd"), F.when(~F.col("o"), F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("tokens"))
     kind = docs.schema["doc_id"].dataType
     arrow, buckets = to_arrow_type(kind), int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = f"chunk long, is_doc boolean, doc_ids array<{kind.simpleString()}>, raw long, blob binary"
@@ -239,7 +252,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes of each row's ids: the ids are joined to the table of token bytes, which the vocabulary bounds."""
+    """Adds the bytes of each row's ids, by a map-side join of the ids with the table of token bytes."""
     table = read_ranks(ranks_path)
     token = [b""] * (max(table.values()) + 1)
     for b, i in table.items():

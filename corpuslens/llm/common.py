@@ -42,6 +42,7 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit, which stays: it counts when a result is computed, not when it is declared."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) == 2**31 - 1:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -52,7 +53,11 @@ ROWS_PER_FILE = 100_000
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage, survive lost executors and are read column by column."""
+    """Tables written to the shared folder. They cut lineage, survive lost executors and are read column by column.
+
+    A result that reads them is computed when it is used, so they live as long as the driver: Hadoop deletes the folder
+    when the driver's JVM ends. A driver that is killed leaves it behind.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
@@ -72,14 +77,21 @@ class Scratch:
             files = max(1, -(-kept.count() // rows))
             kept.coalesce(files).write.parquet(path)
             kept.unpersist()
+        if self.n == 1:
+            root, fs = self._place(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def _place(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of this scratch that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._place(df.scratch_path)
+        fs.delete(path, True)
 
 
 # ---- hashing of words on whole byte buffers, for the Arrow operators ----
