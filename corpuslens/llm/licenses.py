@@ -11,10 +11,13 @@ rows give equal rows each; other columns of the input are not read, so their nam
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.llm import license_texts
 from corpuslens.llm.common import gram_hash, words_of
 
 #: Exact phrases: label, words. Fixed values of the contract.
@@ -41,9 +44,12 @@ NOTICES = [
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.8),
 ]
+#: Whole texts are found in altered copies too: so much of their grams must vote.
+TEXT_SHARE = 0.6
+NOTICES += [(label, " ".join(re.findall("[0-9a-z]+", text.lower())), TEXT_SHARE) for label, text in license_texts.TEXTS]
 PHRASE_K, NOTICE_K = 2, 3
-#: Diagonals at most so far apart belong to one copy of a notice.
-SLACK = 2
+#: Diagonals at most so far apart belong to one copy: so many words, or one in so many of the template's.
+SLACK, SLACK_SHARE = 2, 16
 #: Length of a span at most, against the notice's.
 STRETCH = 1.5
 
@@ -85,7 +91,9 @@ def license_clusters(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataF
     x = x.agg(F.max(n).alias("n_words"), F.count("*").alias("copies"), F.collect_set(hit["tpos"]).alias("tset"))
     x = x.repartition("doc_id", "th")  # serves the window and all later groupings
     along = Window.partitionBy("doc_id", "th", "tid").orderBy("diag")
-    slack = F.when(F.col("tid") < len(phrases), -1).otherwise(SLACK)
+    slack = F.when(F.col("tid") < len(phrases), -1)
+    for i, (_, words, _) in enumerate(notices, len(phrases)):
+        slack = slack.when(F.col("tid") == i, max(SLACK, len(words.split()) // SLACK_SHARE))
     x = x.withColumn("new", (F.col("diag") - F.lag("diag").over(along) > slack).cast("int"))
     x = x.withColumn("cluster", F.sum(F.coalesce("new", F.lit(0))).over(along))
     return x.groupBy("doc_id", "th", "tid", "cluster").agg(

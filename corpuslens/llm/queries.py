@@ -107,8 +107,8 @@ g AS (SELECT tid, k, i AS tpos, array_to_string(tw[i + 1:i + k], ' ') AS gram FR
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT rid, k, i AS pos, array_to_string(w[i + 1:i + k], ' ') AS gram FROM d, (VALUES ({L.PHRASE_K}), ({L.NOTICE_K})) ks(k), unnest(range(len(w) - k + 1)) u(i) WHERE len(w) >= k),
 h AS (SELECT DISTINCT rid, tid, tpos, pos - tpos AS diag FROM p JOIN g USING (k, gram)),
-n AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) > CASE WHEN tid < {len(L.PHRASES)} THEN -1 ELSE {L.SLACK} END THEN 1 ELSE 0 END AS new
-      FROM (SELECT rid, tid, diag, list(tpos) AS tset FROM h GROUP BY ALL)),
+n AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) > CASE WHEN tid < {len(L.PHRASES)} THEN -1 ELSE greatest({L.SLACK}, len(tw) // {L.SLACK_SHARE}) END THEN 1 ELSE 0 END AS new
+      FROM (SELECT rid, tid, diag, list(tpos) AS tset FROM h GROUP BY ALL) JOIN t USING (tid)),
 c AS (SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY diag) AS cluster FROM n),
 s AS (SELECT rid, tid, cluster, len(list_distinct(flatten(list(tset)))) AS votes, min(diag + list_min(tset)) AS first, max(diag + list_max(tset)) AS last FROM c GROUP BY ALL),
 v AS (SELECT rid, label, exact, first, CAST(votes AS DOUBLE) / (len(tw) - k + 1) AS coverage FROM s JOIN t USING (tid)

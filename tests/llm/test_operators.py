@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, chat, decontam, licenses, media, neardup, pii, sharding, toxicity
+from corpuslens.llm import bpe, chat, decontam, license_texts, licenses, media, neardup, pii, sharding, toxicity
 from corpuslens.llm.common import hash_words, lower_ascii
 from corpuslens.llm.components import connected_components
 from corpuslens.llm.common import Scratch
@@ -264,3 +264,19 @@ def test_chat_rotation(spark):
             assert rendering[r.learn_start : r.learn_end].endswith("<|end|>") and r.speaker == r.perspective
     assert [rendering.rendering for k, rendering in whole.items() if k == (3, "user")] == ["<|assistant|>\na<|end|>\n<|user name=bob|>\nc<|end|>\n<|assistant|>\nb<|end|>\n"]
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_altered_copies_of_license_texts(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i, (label, text) in enumerate(license_texts.TEXTS):
+        w = text.split()
+        kept = [x for x in w if rng.random() > 0.04] if len(w) > 60 else w  # lost words
+        at = rng.randrange(len(kept))
+        altered = kept[:at] + ["ACME", "Corp."] * (len(w) > 60) + kept[at:]  # and inserted ones
+        rows += [(2 * i, "some file\n" * 30 + " ".join(altered) + " int main() {} " * 30), (2 * i + 1, " ".join(rng.sample(w, len(w))))]
+        want[2 * i] = label
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {x for x, _ in license_texts.TEXTS}
+    assert all(label in got[i] for i, label in want.items()), [(x, got[i]) for i, x in want.items() if x not in got[i]]
+    assert not any(texts & set(got[i]) for i in got if i % 2)  # the same words in another order
