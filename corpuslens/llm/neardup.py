@@ -46,8 +46,8 @@ FIRST, RARELY = 64, 1e-8
 #: threshold (once in 1e8 at it) go unverified. So the three filters miss a pair at 0.85 with a probability of
 #: 2e-9 + 1e-8 + 1e-8, at 0.8 of 3e-6 + 1e-8 + 1e-8.
 MARGIN = 5.7
-#: Documents of a bucket that are compared with each other in one block; edges that are verified against one text in one go.
-BLOCK, FAN = 512, 512
+#: Documents of a bucket, and of a cluster, that are compared with each other in one block; edges that are verified against one text in one go.
+BLOCK, CLUSTER, FAN = 512, 1024, 512
 #: Bytes of text that are hashed at a time (a longer text alone); hashing takes some 40 bytes for each.
 PIECE = 1 << 18
 #: Shingles of the documents of one block of a cluster; document ids (8 bytes each) that are broadcast at most.
@@ -357,7 +357,7 @@ def _left_over(bands: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataF
     x = scratch.table(x.join(clusters, F.col("root") == F.col("part")).drop("part"))
     size = x.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("all"))
     x = x.join(_some(texts, x.select("doc")), F.col("doc") == F.col("doc_id")).join(size, "cluster")
-    x = _block_pairs(x, "cluster", F.greatest(F.ceil(F.col("docs") / (2 * BLOCK)), F.ceil(F.col("all") / SHINGLES)))
+    x = _block_pairs(x, "cluster", F.greatest(F.ceil(F.col("docs") / CLUSTER), F.ceil(F.col("all") / SHINGLES)))
     x = x.select("cluster", "i", "j", "side", "doc", "root", "n", "regs", "text").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return x.mapInArrow(_links_across(least, link), "a long, b long")
 
