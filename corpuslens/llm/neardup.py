@@ -47,7 +47,7 @@ FIRST, RARELY = 64, 1e-8
 #: 2e-9 + 1e-8 + 1e-8, at 0.8 of 3e-6 + 1e-8 + 1e-8.
 MARGIN = 5.7
 #: Documents of a bucket, and of a cluster, that are compared with each other in one block; edges that are verified against one text in one go.
-BLOCK, CLUSTER, FAN = 512, 128, 512
+BLOCK, CLUSTER, FAN = 512, 128, 64
 #: Bytes of text that are hashed at a time (a longer text alone); hashing takes some 40 bytes for each.
 PIECE = 1 << 18
 #: Shingles of the documents of one block of a cluster; document ids (8 bytes each) that are broadcast at most.
