@@ -196,8 +196,28 @@ def _encode_words(ranks: bytes, pattern: str, id_type: pa.DataType):
     return run
 
 
-def _assemble(id_type: pa.DataType):
-    """Packed rows sorted by chunk, a chunk's words before its documents, to (doc_id, ids). Holds one chunk's words."""
+class TokenBytes:
+    """The table of token bytes by id, as arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        token = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            token[i] = b
+        self.sizes = np.fromiter(map(len, token), np.int64, len(token))
+        self.data = np.frombuffer(b"".join(token), np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray, per_doc: np.ndarray) -> pa.Array:
+        """The bytes of runs of ids, joined to the table by id; per_doc: lengths of the runs."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        upto = _offsets(self.sizes[ids])[_offsets(per_doc)]
+        return _binary(np.diff(upto), _gather(self.data, self.starts[ids], self.sizes[ids]).tobytes()).cast(pa.binary())
+
+
+def _assemble(id_type: pa.DataType, table: TokenBytes | None, names: list[str]):
+    """Packed rows sorted by chunk, a chunk's words before its documents, to (doc_id, ids) and, with a table, the decoded
+    bytes. Holds one chunk's words."""
 
     def run(batches):
         chunk, held, known = None, [], None
@@ -220,16 +240,18 @@ def _assemble(id_type: pa.DataType):
                 if len(w) and (w.max() >= len(starts) or (starts[w] < 0).any()):
                     raise RuntimeError("a chunk was cut differently in two runs of its task; store the input as a table first")
                 ids, upto = _gather(values, starts[w], counts[w]), _offsets(counts[w])[_offsets(per_doc)]
-                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten().cast(id_type), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+                columns = [row.column("doc_ids").flatten().cast(id_type), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))]
+                yield pa.RecordBatch.from_arrays(columns + ([table.decode(ids, np.diff(upto))] if table else []), names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, stored: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, stored: bool = False, decoded: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of each row of docs (doc_id, text). ranks_path is read on the driver only.
 
     stored: docs is a scan of a stored table (columns may be computed from a row alone); else its two columns are written
-    to the shared folder first. A bucket of words is held by one task, so the number of shuffle partitions is to grow
+    to the shared folder first. decoded: the name of a further column, what the ids decode to (as by decode_ids(), but in the
+    tasks that put the ids together, so that no second Python worker is needed). A bucket of words is held by one task, so the number of shuffle partitions is to grow
     with the corpus's distinct words, as for any aggregation by word.
     """
     spark = docs.sparkSession
@@ -248,18 +270,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, stored: boo
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks, pattern, arrow), packed)
     places = x.mapInArrow(_cut(pattern, buckets, arrow, "docs"), packed)
     both = ids.unionByName(places).repartition("chunk").sortWithinPartitions("chunk", "is_doc")
-    return both.mapInArrow(_assemble(arrow), f"doc_id {kind.simpleString()}, ids array<int>")
+    names = ["doc_id", "ids"] + ([decoded] if decoded else [])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
+    return both.mapInArrow(_assemble(arrow, TokenBytes(read_ranks(ranks_path)) if decoded else None, names), schema)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of each row's ids, by a map-side join of the ids with the table of token bytes."""
-    table = read_ranks(ranks_path)
-    token = [b""] * (max(table.values()) + 1)
-    for b, i in table.items():
-        token[i] = b
-    sizes = np.fromiter(map(len, token), np.int64, len(token))
-    data = np.frombuffer(b"".join(token), np.uint8)
-    starts = np.cumsum(sizes) - sizes
+    table = TokenBytes(read_ranks(ranks_path))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches):
@@ -268,11 +286,6 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
             for lo, hi in slices(counts, 200_000):  # bounds what is held besides the batch
                 part, per_doc = batch.slice(lo, hi - lo), counts[lo:hi]
                 flat = np.asarray(part.column(ids).flatten(), np.int32)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes) or not sizes[flat].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                raw = _gather(data, starts[flat], sizes[flat])
-                upto = _offsets(sizes[flat])[_offsets(per_doc)]
-                value = _binary(np.diff(upto), raw.tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns, value.cast(pa.binary())], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, table.decode(flat, per_doc)], [*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)

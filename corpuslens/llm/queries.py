@@ -27,10 +27,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from corpuslens.llm.bpe import decode_ids, encode_documents
+    from corpuslens.llm.bpe import encode_documents
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    x = decode_ids(encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, stored=True), path)
+    x = encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, stored=True, decoded="decoded")
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -158,6 +158,8 @@ def test_bpe_equals_the_library(spark):
     df = bpe.decode_ids(bpe.encode_documents(documents(spark, texts), path, pattern), path)
     got = sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in df.collect())
     assert got == sorted((str(d), enc.encode_ordinary(t or ""), (t or "").encode()) for d, t in texts)
+    at_once = bpe.encode_documents(documents(spark, texts), path, pattern, decoded="bytes")
+    assert sorted((str(r.doc_id), list(r.ids), bytes(r["bytes"])) for r in at_once.collect()) == got
     assert bpe.encode_documents(empty(spark), path, pattern).count() == 0
     bad = spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="vocabulary"):
