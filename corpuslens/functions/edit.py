@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.functions.text import ARABIC, tokens
 
@@ -13,13 +16,20 @@ from corpuslens.functions.text import ARABIC, tokens
 ALPHABET = "".join(map(chr, range(0xE000, 0xF900)))
 
 
+@F.pandas_udf(T.IntegerType())
+def _long_distance(references: pd.Series, hypotheses: pd.Series) -> pd.Series:
+    """Edit distance of lists of words, row of the cost table by row; null for null lists."""
+    return pd.Series([None if r is None else int(_costs(*_codes(r, h))[-1]) for r, h in zip(references, hypotheses)], dtype="Int32")
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance over words. Each distinct word of a pair becomes one character, so the native distance applies; pairs with
-    more than 6400 distinct words get null (use alignment() for them)."""
+    """Edit distance over words. Each distinct word of a pair becomes one character, so that the native distance applies; where a pair
+    has more distinct words than there are such characters, its words become numbers and the table of costs is computed."""
     r, h = tokens(reference), tokens(hypothesis)
     known = F.array_distinct(F.concat(r, h))
+    few = F.size(known) <= len(ALPHABET)
     code = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
-    return F.when(F.size(known) <= len(ALPHABET), F.levenshtein(code(r), code(h)))
+    return F.when(few, F.levenshtein(code(r), code(h))).otherwise(_long_distance(F.when(~few, r), F.when(~few, h)))
 
 
 def _rate(distance: Column, length: Column, other: Column) -> Column:
@@ -84,7 +94,7 @@ def convert_error(value: Column, source: str, target: str) -> Column:
 # ---- alignments ----
 
 
-#: Cells of a cost table that is kept whole; larger pairs are halved first.
+#: Cells of a cost table that is kept whole; of larger ones some rows are kept and those between computed again. The alignment is the same.
 CELLS = 25_000_000
 
 
@@ -110,41 +120,37 @@ def _costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
-def _trace(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> list[tuple[str, int, int]]:
+def align(reference, hypothesis) -> list[tuple[str, int, int]]:
+    """(op, reference place, hypothesis place) of a cheapest alignment of two sequences; -1: none. Of equal costs, from the end,
+    substitution before deletion before insertion. Holds about sqrt(CELLS) rows of costs at most, or two times the root of the rows."""
+    a, b = _codes(reference, hypothesis)
     n, m = len(a), len(b)
-    if n > 1 and n * m > CELLS:  # a cheapest alignment passes the middle of a where the two halves cost least together
-        half = n // 2
-        cut = int(np.argmin(_costs(a[:half], b) + _costs(a[half:][::-1], b[::-1])[::-1]))
-        return _trace(a[:half], b[:cut], at_a, at_b) + _trace(a[half:], b[cut:], at_a + half, at_b + cut)
-    steps = np.arange(m + 1)
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = steps
-    for i, x in enumerate(a, 1):
-        cost[i] = _row(cost[i - 1], b == x, i, steps)
+    steps = np.arange(m + 1, dtype=np.int32)
+    every = n if n * m <= CELLS else math.isqrt(n)
+    kept, row = [steps], steps
+    for i in range(1, n + 1 if every < n else 0):
+        row = _row(row, b == a[i - 1], i, steps)
+        if i % every == 0:
+            kept.append(row)
     out, i, j = [], n, m
-    while i or j:
-        here = cost[i, j]
-        if i and j and here == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append(("match" if a[i] == b[j] else "substitution", at_a + i, at_b + j))
-        elif i and here == cost[i - 1, j] + 1:
-            i -= 1
-            out.append(("deletion", at_a + i, -1))
-        else:
-            j -= 1
-            out.append(("insertion", -1, at_b + j))
+    for start in range((n - 1) // every * every, -1, -every) if n else [0]:
+        cost = [kept[start // every] if every else steps]
+        for k in range(start + 1, i + 1):
+            cost.append(_row(cost[-1], b == a[k - 1], k, steps))
+        while i > start or (start == 0 and j):
+            here = cost[i - start][j]
+            if i and j and here == cost[i - start - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                out.append(("match" if a[i] == b[j] else "substitution", i, j))
+            elif i and here == cost[i - start - 1][j] + 1:
+                i -= 1
+                out.append(("deletion", i, -1))
+            else:
+                j -= 1
+                out.append(("insertion", -1, j))
     return out[::-1]
 
 
-def align(reference, hypothesis) -> list[tuple[str, int, int]]:
-    """(op, reference place, hypothesis place) of a cheapest alignment of two sequences; -1: none.
-
-    Of equal costs, from the end, substitution before deletion before insertion; pairs of more than CELLS places are
-    halved before, which may choose another alignment of the same cost.
-    """
-    return _trace(*_codes(reference, hypothesis), 0, 0)
-
-
 ALIGNMENT = "array<struct<op:string,ref:string,hyp:string,ref_at:int,hyp_at:int,before:string,after:string>>"
 
 
@@ -176,37 +182,57 @@ def edit_counts(edits: Column) -> Column:
     return F.struct(n("substitution").alias("substitutions"), n("insertion").alias("insertions"), n("deletion").alias("deletions"))
 
 
-def _is(pattern: str):
-    return lambda c: F.coalesce(c.rlike(f"^(?:{pattern})$"), F.lit(False))
+#: What an edited character is, the first class that holds it; and pairs of letters that are often confused.
+CLASSES = [
+    ("whitespace", r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"),
+    ("punctuation", r"[\u060C\u061B\u061F\u066A-\u066D\u06D4.,;:!?\"'()\[\]{}«»…\-–—/\\|@#&*%$+=<>~^_]"),
+    ("arabic_digit", "[٠-٩۰-۹]"),
+    ("latin_digit", "[0-9]"),
+    ("diacritic", r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"),
+    ("tatweel", r"\u0640"),
+    ("arabic", ARABIC),
+    ("latin", "[A-Za-z]"),
+]
+ALEFS = ["ا", "أ", "إ", "آ", "ٱ"]
+CONFUSED = [("ya_alef_maqsura", ["ي", "ى"]), ("ta_marbuta_ha", ["ة", "ه"])]
+HAMZA = "ء"
+_PATTERN = dict(CLASSES)
 
 
-_arabic, _latin = _is(ARABIC), _is("[A-Za-z]")
-_arabic_digit, _latin_digit, _space, _mark, _punct, _alef, _hamza = _is("[٠-٩۰-۹]"), _is("[0-9]"), _is(r"(?U)\s"), _is(r"\p{Mn}"), _is(r"\p{P}"), _is("[اأإآٱ]"), _is("[اأإآٱءؤئ]")
+def _class_of(c: Column) -> Column:
+    out = F.lit("other")
+    for name, pattern in reversed(CLASSES):
+        out = F.when(c.rlike(f"^{pattern}$"), name).otherwise(out)
+    return out
 
 
 def character_error(ref: Column, hyp: Column) -> Column:
-    """The class of one character edit; an empty side is an insertion or deletion."""
-    one = F.when(hyp != "", hyp).otherwise(ref)
-    side = lambda arabic, latin, other: F.when(_arabic(one), arabic).when(_latin(one), latin).otherwise(other)
-    both = lambda test: test(ref) & test(hyp)
-    digit = lambda c: _arabic_digit(c) | _latin_digit(c)
-    gap = (
-        F.when(_space(one), "whitespace").when(_mark(one), "diacritic").when(one == "ـ", "tatweel").when(_arabic_digit(one), "arabic_digit").when(_latin_digit(one), "latin_digit").when(_punct(one), "punctuation")
-        .otherwise(F.when(hyp == "", side("missing_arabic_character", "missing_latin_character", "missing_character")).otherwise(side("extra_arabic_character", "extra_latin_character", "extra_character")))
-    )
-    swap = (
-        F.when(_space(ref) | _space(hyp), "whitespace").when(both(_mark), "diacritic").when((_arabic_digit(ref) & _latin_digit(hyp)) | (_latin_digit(ref) & _arabic_digit(hyp)), "digit_system_confusion")
-        .when(both(_arabic_digit), "arabic_digit").when(both(_latin_digit), "latin_digit").when(digit(ref) | digit(hyp), "digit_word").when(both(_hamza), "hamza_alef_variant")
-        .when(both(_is("[يى]")), "ya_alef_maqsura").when(both(_is("[ةه]")), "ta_marbuta_ha").when((_arabic(ref) & _latin(hyp)) | (_latin(ref) & _arabic(hyp)), "arabic_latin_script")
-        .when(_punct(ref) | _punct(hyp), "punctuation").when(F.lower(ref) == F.lower(hyp), "letter_case").otherwise("character_substitution")
-    )
-    return F.when(ref == hyp, "match").when((ref == "") | (hyp == ""), gap).otherwise(swap)
+    """The class of one character edit; an empty or null side is an insertion or deletion. 'unknown' if a side has more than one character, or both have none."""
+    r, h = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
+    a, b = _class_of(r), _class_of(h)
+    letters = lambda c, kind: F.when(c.isin("arabic", "latin"), F.concat(F.lit(kind), F.lit("_"), c, F.lit("_character"))).when(c == "other", f"{kind}_character").otherwise(c)
+    either = lambda name: (a == name) | (b == name)
+    digits = a.endswith("_digit") & b.endswith("_digit")
+    rules = [
+        ("match", r == h), ("whitespace", either("whitespace")), ("punctuation", (a == "punctuation") & (b == "punctuation")), ("digit_system_confusion", digits & (a != b)), ("arabic_digit", digits), ("diacritic", either("diacritic")),
+        ("tatweel", either("tatweel")), ("hamza_alef_variant", r.isin(ALEFS) & h.isin(ALEFS)), *[(name, r.isin(pair) & h.isin(pair)) for name, pair in CONFUSED], ("hamza", (r == HAMZA) | (h == HAMZA)),
+        ("arabic_latin_script", a.isin("arabic", "latin") & b.isin("arabic", "latin") & (a != b)),
+    ]
+    swap = F.lit("character_substitution")
+    for name, rule in reversed(rules):
+        swap = F.when(rule, name).otherwise(swap)
+    n, m = F.length(r), F.length(h)
+    return F.when((n == 1) & (m == 1), swap).when((n == 0) & (m == 1), letters(b, "extra")).when((n == 1) & (m == 0), letters(a, "missing")).otherwise("unknown")
 
 
 def word_error(ref: Column, hyp: Column) -> Column:
-    """match, missing_word, extra_word, diacritics_heavy, digit_word, punctuation, letter_case or word_substitution."""
-    bare = lambda c, p: F.regexp_replace(c, p, "")
+    """The class of one word edit of texts in NFC; an empty or null side is an extra or a missing word."""
+    r, h = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
+    bare = lambda c: F.regexp_replace(c, _PATTERN["diacritic"], "")
+    some = lambda c, *names: c.rlike("|".join(_PATTERN[n] for n in names))
+    marks = lambda c: c.rlike(f"^(?:{_PATTERN['punctuation']})+$")
+    latin = lambda c: some(c, "latin") & ~some(c, "arabic")
     return (
-        F.when(ref == hyp, "match").when(hyp == "", "missing_word").when(ref == "", "extra_word").when(bare(ref, r"\p{Mn}") == bare(hyp, r"\p{Mn}"), "diacritics_heavy")
-        .when(ref.rlike(r"^\p{N}+$") | hyp.rlike(r"^\p{N}+$"), "digit_word").when(bare(ref, r"\p{P}") == bare(hyp, r"\p{P}"), "punctuation").when(F.lower(ref) == F.lower(hyp), "letter_case").otherwise("word_substitution")
+        F.when(r == "", "extra_word").when(h == "", "missing_word").when(r == h, "match").when(bare(r) == bare(h), "diacritic").when(some(r, "arabic_digit", "latin_digit") | some(h, "arabic_digit", "latin_digit"), "digit_word")
+        .when(marks(r) | marks(h), "punctuation").when(latin(r) != latin(h), "mixed_script_word").otherwise("word_substitution")
     )

@@ -1,4 +1,4 @@
-"""Text functions: normalization, script and corruption profiles, redaction. Native expressions wherever Spark has them.
+"""Text functions: normalization, folding, scripts, paths, ranges. Native expressions wherever Spark has them; quality is in textquality.
 
 Unicode normal forms are not among Spark's functions; normalize() is an Arrow UDF, everything else runs on the JVM.
 """
@@ -160,125 +160,11 @@ def _share(n: Column, of: Column) -> Column:
     return F.when(of > 0, n / of).otherwise(0.0)
 
 
-def duplicate_line_ratio(text: Column) -> Column:
-    """1 - distinct / total of the non-blank trimmed lines; 0 for fewer than three."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    n = F.size(lines)
-    return F.when(n < 3, 0.0).otherwise(1.0 - F.size(F.array_distinct(lines)) / n)
-
-
-def unicode_corruption_count(text: Column) -> Column:
-    """Replacement characters, private use, control and format characters other than line feed, carriage return and tab."""
-    return _count(text, r"[�-\p{Cc}\p{Cf}&&[^\n\r\t]]")
-
-
-def isolated_arabic_ratio(text: Column) -> Column:
-    """Share of Arabic words that have a single letter; null without Arabic words."""
-    arabic = F.filter(tokens(text), lambda w: w.rlike(ARABIC))
-    return F.when(F.size(arabic) > 0, F.size(F.filter(arabic, lambda w: F.length(w) == 1)) / F.size(arabic))
-
-
-def corruption_profile(text: Column) -> Column:
-    """struct of counters and ratios that corruption_decision() weighs."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    visible = _count(t, r"(?U)\S")
-    return F.struct(
-        n.alias("n_chars"), visible.alias("visible"), F.size(tokens(t)).alias("n_words"),
-        _count(t, r"\p{L}").alias("letters"), _count(t, r"\p{N}").alias("digits"), _count(t, ARABIC).alias("arabic"), _count(t, "[A-Za-z]").alias("latin"),
-        _count(t, "�").alias("replacement"), _count(t, r"[-]").alias("private_use"), _count(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]").alias("control"),
-        _count(t, r"[^\p{L}\p{N}\s]").alias("symbols"), _count(t, r"(.)\1{5,}").alias("long_runs"), _count(t, r"(.{1,8})\1{4,}").alias("repeats"),
-        duplicate_line_ratio(t).alias("duplicate_lines"), F.coalesce(isolated_arabic_ratio(t), F.lit(0.0)).alias("isolated_arabic"),
-    )
-
-
-def corruption_flags(profile: Column) -> Column:
-    """Names of the critical findings of a corruption profile, in a fixed order."""
-    p, visible = profile, F.greatest(profile["visible"], F.lit(1))
-    rules = [
-        ("empty_text", p["visible"] == 0),
-        ("replacement_characters", _share(p["replacement"], visible) > 0.01),
-        ("private_use_characters", _share(p["private_use"], visible) > 0.02),
-        ("control_characters", p["control"] > 0),
-        ("symbol_noise", (p["visible"] >= 20) & (_share(p["symbols"], visible) > 0.5)),
-        ("no_letters", (p["visible"] >= 20) & (p["letters"] == 0)),
-        ("long_runs", p["long_runs"] >= 3),
-        ("repeated_fragments", p["repeats"] >= 3),
-        ("duplicate_lines", p["duplicate_lines"] > 0.5),
-        ("isolated_letters", p["isolated_arabic"] > 0.4),
-    ]
-    return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
-
-
-def corruption_score(profile: Column) -> Column:
-    """0 to 100: 100 less penalties for noise, replacement characters and repetition."""
-    p, visible = profile, F.greatest(profile["visible"], F.lit(1))
-    penalty = 200.0 * _share(p["replacement"] + p["private_use"] + p["control"], visible) + 40.0 * F.greatest(_share(p["symbols"], visible) - 0.2, F.lit(0.0)) + 30.0 * p["duplicate_lines"] + 20.0 * p["isolated_arabic"] + F.least(3.0 * (p["long_runs"] + p["repeats"]), F.lit(30.0))
-    return F.when(p["visible"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 100.0 - penalty))
-
-
-def acceptance(score: Column, flags: Column, threshold: float = 90.0) -> Column:
-    """struct(accepted, reason)."""
-    reason = F.when(F.size(flags) > 0, F.concat(F.lit("critical: "), F.array_join(flags, ","))).when(score < threshold, F.lit("below threshold")).otherwise(F.lit("accepted"))
-    return F.struct((reason == "accepted").alias("accepted"), reason.alias("reason"))
-
-
-def quality_components(text: Column, expected_pages: Column, converted_pages: Column, base: Column) -> Column:
-    """Weighted 0 to 100: text score, completeness of the pages, structure (lines and words)."""
-    complete = F.when(expected_pages > 0, F.least(F.lit(1.0), converted_pages / expected_pages)).otherwise(0.0) * 100
-    lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""))
-    structure = F.least(F.lit(100.0), 40.0 + 10.0 * lines)
-    return F.struct(complete.alias("completeness"), structure.alias("structure"), (0.6 * base + 0.25 * complete + 0.15 * structure).alias("total"))
-
-
 def spreadsheet_cell(value: Column) -> Column:
     """A quote before what a spreadsheet would run as a formula."""
     return F.when(value.rlike(r"^\s*[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
-def document_text(value: Column, most: int = 1_000_000) -> Column:
-    """Without characters that XML forbids and bidi controls, at most so long. NFC is up to unicode_form()."""
-    return F.substring(F.regexp_replace(value, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}‪-‮⁦-⁩]", ""), 1, most)
-
-
-#: What redact() replaces, by name.
-SECRETS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("bearer", r"(?i)bearer\s+[A-Za-z0-9._-]{8,}"),
-    ("secret", r"(?i)(?:api[_-]?key|token|secret|password)\s*[=:]\s*\"?[A-Za-z0-9_\-]{6,}\"?"),
-    ("path", r"(?:[A-Za-z]:\\|/home/|/Users/)[^\s\"']+"),
-]
-
-
-def redact(text: Column) -> Column:
-    for name, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"[{name}]")
-    return text
-
-
-def is_sensitive(text: Column) -> Column:
-    """Whether redact() would change it or it holds a long number."""
-    found = text.rlike(r"\d[\d -]{8,}\d")
-    for _, pattern in SECRETS:
-        found = found | text.rlike(pattern)
-    return F.coalesce(found, F.lit(False))
-
-
-def script_ratios(text: Column) -> Column:
-    """struct(arabic: share of the letters, digits: share of the visible characters)."""
-    return F.struct(_share(_count(text, ARABIC), _count(text, r"\p{L}")).alias("arabic"), _share(_count(text, r"\p{N}"), _count(text, r"(?U)\S")).alias("digits"))
-
-
-def layout_profile(text: Column) -> Column:
-    """struct of counts: lines, headings (short lines without a final mark), list items, table rows."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    some = lambda rule: F.size(F.filter(lines, rule))
-    return F.struct(
-        F.size(lines).alias("lines"), some(lambda x: (F.length(x) <= 60) & ~x.rlike(r"[.,;:!?]$")).alias("headings"),
-        some(lambda x: x.rlike(r"^(?:[-*•]|\d+[.)])\s")).alias("list_items"), some(lambda x: F.size(F.split(x, r"\|")) >= 3).alias("table_rows"),
-    )
-
-
 def first_integer(text: Column, lo: int = 0, hi: int = 100) -> Column:
     """The first integer in a text, clamped; null without one."""
     found = F.regexp_extract(text, r"(\d{1,9})", 1)
@@ -314,16 +200,6 @@ def relative_path(value: Column) -> Column:
     return F.when(~bad & (F.size(parts) > 0), F.array_join(parts, "/"))
 
 
-def change_type(before: Column, after: Column) -> Column:
-    """insertion, deletion, whitespace, punctuation, digit or substitution."""
-    strip = lambda c, p: F.regexp_replace(F.coalesce(c, F.lit("")), p, "")
-    return (
-        F.when(F.coalesce(before, F.lit("")) == "", "insertion").when(F.coalesce(after, F.lit("")) == "", "deletion")
-        .when(strip(before, r"(?U)\s") == strip(after, r"(?U)\s"), "whitespace").when(strip(before, r"\p{P}") == strip(after, r"\p{P}"), "punctuation")
-        .when(strip(before, r"\p{N}") == strip(after, r"\p{N}"), "digit").otherwise("substitution")
-    )
-
-
 def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Literal replacements in the order of the rules (a bounded list, by falling confidence)."""
     for before, after in rules:

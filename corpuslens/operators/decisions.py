@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpuslens.functions import text
+from corpuslens.functions import textquality
 from corpuslens.operators.records import first_reason
 
 #: Evidence limits of the digital-text gate, and minima of the agreement gates.
@@ -21,6 +21,10 @@ COMPLETE = ["region_coverage", "main_text_coverage", "margin_coverage", "footnot
 ABSENT = {"missing_lines": "missing_line_indicators", "duplicate_text": "duplicate_text_indicators", "reading_order_disagreement": "reading_order_disagreement"}
 
 
+#: Page states whose decision stands, the accepted ones first.
+DECIDED_PAGES = ["accepted_first_pass", "accepted_after_selective_reread", "review_required", "pending_ocr_model", "ocr_failed"]
+
+
 def _no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
@@ -84,27 +88,44 @@ def quality_decision(accuracy: Column, has_truth: Column, estimated: Column, exh
 
 
 def page_state(df: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """Of text, state and score: blank pages and accepted states keep theirs, others go by the corruption decision."""
-    p = text.corruption_profile(F.col("text"))
-    ok = (F.col("score") >= threshold) & (F.size(text.corruption_flags(p)) == 0)
-    x = F.when(F.col("state") == "blank", "blank").when(F.col("state").isin("accepted", "trusted_digital"), F.col("state")).when(ok, "accepted").otherwise("manual_review")
-    return df.withColumn("page_state", x).withColumn("manual_review", F.col("page_state") == "manual_review")
-
-
-def text_issues(t: Column, success: Column) -> Column:
-    """Names of observable defects of a recognized text."""
-    body = F.trim(F.coalesce(t, F.lit("")))
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Of text (NFC), page_state, score and the flag manual_review: adds accepted, manual_review and review_reason. Blank pages are neither
+    accepted nor reviewed, states that are decided keep their decision, the others go by the acceptance of their text; a page without a
+    score is judged by the one that its text gets."""
+    state, before = F.col("page_state"), F.coalesce(F.col("manual_review"), F.lit(False))
+    names = [c for c in df.columns if c != "manual_review"]
+    x = textquality.with_corruption(df.withColumn("_before", before), "text", "score", F.lit(True))
+    x = x.withColumn("_estimate", F.coalesce("score", F.col("corruption.quality")))
+    x = x.withColumn("_a", textquality.acceptance(F.col("corruption"), F.col("_estimate"), threshold))
+    review = F.when(state == "blank_page", False).when(state.isin(DECIDED_PAGES), ~state.isin(DECIDED_PAGES[:2])).otherwise(F.col("_before") | ~F.col("_a.accepted"))
+    x = x.withColumn("_review", review)
+    reason = F.when(F.col("_review"), F.when(state.isin(DECIDED_PAGES), state).otherwise(F.col("_a.reason")))
+    return x.select(*names, (~F.col("_review") & (F.coalesce(state, F.lit("")) != "blank_page")).alias("accepted"), F.col("_review").alias("manual_review"), reason.alias("review_reason"))
+
+
+def text_issues(t: Column, success: Column, reading_order: Column | None = None, confidence: Column | None = None) -> Column:
+    """Names of observable defects of a recognized text. reading_order: an array of places; confidence: a validated one, else null."""
+    body = textquality.stripped(t)
+    lines = textquality.lines_of(F.regexp_replace(body, r"[^\S\n]+", " "))
     thrice = F.exists(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 3)
-    single = F.size(F.filter(text.tokens(body), lambda w: w.rlike(text.ARABIC) & (F.length(w) == 1)))
+    single = F.size(F.filter(textquality.words_of(body), lambda w: w.rlike(f"^[{textquality.ARABIC}]$")))
     live = success & (body != "")
     rules = [
-        ("engine_error", _no(success)), ("empty_output", success & (body == "")), ("sparse_output", live & (F.regexp_count(body, F.lit(r"[\p{L}\p{N}]")) < 2)), ("unicode_corruption", live & (text.unicode_corruption_count(body) > 0)),
-        ("repeated_lines", live & thrice), ("arabic_fragmentation", live & (single >= 4)),
+        ("engine_error", _no(success)), ("empty_ocr_output", success & (body == "")), ("suspiciously_sparse_output", live & (F.regexp_count(body, F.lit(r"[\p{L}\p{N}]")) < 2)), ("unicode_corruption", live & (textquality.unicode_corruption_count(body) > 0)),
+        ("duplicate_line_sequence", live & thrice), ("repeated_text_block", live & thrice), ("arabic_fragmentation", live & (single >= 4)), ("arabic_pathological_spacing", live & (single >= 4)),
     ]
+    if reading_order is not None:
+        rules.append(("reading_order_risk", live & (F.size(reading_order) > 0) & ((F.size(F.array_distinct(reading_order)) != F.size(reading_order)) | (F.array_sort(reading_order) != reading_order))))
+    if confidence is not None:
+        rules.append(("low_engine_confidence", live & (confidence < 0.5)))
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
 
 
+def text_acceptance(pages_below: Column, reference_valid: Column, characters: Column, words: Column, least: float = 90.0) -> Column:
+    """Whether a document's text passes: no page below the limit and, with a valid reference, both accuracies known and high enough."""
+    enough = F.coalesce((characters >= least) & (words >= least), F.lit(False))
+    return F.when(F.coalesce(pages_below, F.lit(0)) > 0, False).when(F.coalesce(reference_valid, F.lit(False)), enough).otherwise(True)
+
+
 def choose(df: DataFrame, by: list[str], rules: list[tuple[str, Column]], score: Column, tie: list[str]) -> DataFrame:
     """Adds rejection (name of the first rule that holds), score, and chosen: the best that is not rejected in each group, ties by columns."""
     x = df.withColumn("rejection", first_reason(rules)).withColumn("score", score)
@@ -162,12 +183,12 @@ def _paragraph_edits(before: pd.Series, after: pd.Series) -> pd.Series:
 def paragraph_edits(df: DataFrame, before: str, after: str) -> DataFrame:
     """Rows per changed run of paragraphs: op, before, after, change_type."""
     x = df.withColumn("_e", F.explode(_paragraph_edits(before, after)))
-    return x.select(*df.columns, F.col("_e.op").alias("op"), F.col("_e.before").alias("old"), F.col("_e.after").alias("new")).withColumn("change_type", text.change_type(F.col("old"), F.col("new")))
+    return x.select(*df.columns, F.col("_e.op").alias("op"), F.col("_e.before").alias("old"), F.col("_e.after").alias("new")).withColumn("change_type", textquality.change_type(F.col("old"), F.col("new")))
 
 
 def reread(df: DataFrame) -> DataFrame:
     """Regions (page_id, region, first, second, confidence, second_confidence): the better reading; an empty or corrupt second never wins; the page's text."""
-    fine = (F.trim("second") != "") & (text.unicode_corruption_count(F.col("second")) == 0) & (F.col("second_confidence") > F.col("confidence"))
+    fine = (F.trim("second") != "") & (textquality.unicode_corruption_count(F.col("second")) == 0) & (F.col("second_confidence") > F.col("confidence"))
     x = df.withColumn("value", F.when(F.coalesce(fine, F.lit(False)), F.col("second")).otherwise(F.col("first")))
     return x.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "value"))), lambda r: r["value"]), "\n").alias("text"), F.count_if(F.coalesce(fine, F.lit(False))).alias("replaced"))
 

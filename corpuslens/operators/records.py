@@ -55,8 +55,10 @@ def rules_of(examples: DataFrame) -> DataFrame:
     return x.withColumn("confidence", rule_confidence(F.col("accepted"), F.col("rejected"), F.col("sources")))
 
 
-def active_rules(rules: DataFrame, sources: int = 2, confidence: float = 0.6) -> DataFrame:
-    return rules.where((F.col("sources") >= sources) & (F.col("confidence") >= confidence)).orderBy(F.col("confidence").desc(), "pattern", "replacement")
+def active_rules(rules: DataFrame, sources: int = 3, confidence: float = 0.9) -> DataFrame:
+    """Rules (id, approved, enabled, is_sensitive, sources, confidence) that may be applied, the surest first."""
+    flags = F.col("approved") & F.col("enabled") & ~F.col("is_sensitive")
+    return rules.where(flags & (F.col("sources") >= sources) & (F.col("confidence") >= confidence)).orderBy(F.col("confidence").desc(), "id")
 
 
 def readiness(df: DataFrame, least_jobs: int = 3, least_examples: int = 10) -> DataFrame:

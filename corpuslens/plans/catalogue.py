@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.functions import edit, protection, text
+from corpuslens.functions import edit, protection, text, textquality
 from corpuslens.operators import compare, dedupe, evaluate, quality, records, splits
 from corpuslens.plans.views import JOBS, RECOGNIZED, SAMPLES, analysed, analysed_sql, jobs, measured, recognized, samples, table
 
@@ -202,29 +202,63 @@ def char_script_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.script(F.col("text")).alias("script"))
 
 
-@query("WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents) SELECT doc_id, CASE WHEN len(lines) < 3 THEN 0.0 ELSE round(1.0 - len(list_distinct(lines)) / len(lines)::DOUBLE, 6) END AS ratio FROM l")
+#: The lines that are not blank, trimmed, of the documents, whose only line ends are line feeds.
+_LINES = r"l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents)"
+
+
+@query(rf"WITH {_LINES}, n AS (SELECT doc_id, list_transform(lines, lambda x: regexp_replace(x, '\s+', ' ', 'g')) AS lines FROM l) SELECT doc_id, CASE WHEN len(lines) < 3 THEN 0.0 ELSE round(1.0 - len(list_distinct(lines)) / len(lines)::DOUBLE, 6) END AS ratio FROM n")
 def duplicate_line_ratio(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "documents").select("doc_id", text.duplicate_line_ratio(F.col("text")).alias("ratio")), "ratio")
+    return rounded(table(spark, sf_dir, "documents").select("doc_id", textquality.duplicate_line_ratio(F.col("text")).alias("ratio")), "ratio")
+
+
+def _corruption(spark, sf_dir):
+    d = edit.spread(table(spark, sf_dir, "documents").select("doc_id", "text", (50 + F.col("doc_id") % 60).cast("double").alias("estimate")), "doc_id")
+    return textquality.with_corruption(d.withColumn("text", text.unicode_form("NFC")("text")), "text", "estimate", F.lit(True))
 
 
 @query()
 def corruption_score(spark, sf_dir):
-    x = edit.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.corruption_profile(F.col("text")).alias("p"))
-    x = x.select("doc_id", text.corruption_score(F.col("p")).alias("score"), text.corruption_flags(F.col("p")).alias("flags"))
-    return rounded(x.select("doc_id", "score", csv("flags").alias("flags"), text.acceptance(F.col("score"), F.col("flags"))["reason"].alias("reason")), "score")
+    x = _corruption(spark, sf_dir).withColumn("a", textquality.acceptance(F.col("corruption"), F.col("estimate")))
+    c = F.col("corruption")
+    return x.select("doc_id", csv(c["flags"]).alias("flags"), *[c[n].alias(n) for n in ("quality", "readability", "unicode_integrity", "arabic_integrity", "structure", "coverage", "duplication_risk", "hallucination_risk", "route")], "a.accepted", "a.reason")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t, 1 + doc_id % 4 AS expected, doc_id % 4 AS converted FROM documents),
+n AS (SELECT *, length(regexp_replace(t, '\s+', '', 'g')) AS visible, length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS useful, length(t) - length(replace(t, chr(65533), '')) AS lost,
+  len(list_filter(regexp_split_to_array(t, '\n\s*\n'), lambda p: regexp_matches(p, '\S'))) AS paragraphs FROM d),
+p AS (SELECT *, greatest(0.0, least(100.0, 70.0 * useful / greatest(visible, 1)::DOUBLE + 30.0 * least(1.0, length(t) / greatest(40.0, converted * 250.0)) - least(25.0, 5.0 * lost)))::DOUBLE AS a, least(100.0, 100.0 * converted / expected::DOUBLE) AS b,
+  CASE WHEN regexp_matches(t, '[A-Za-z]') THEN 95.0 WHEN t <> '' THEN 60.0 ELSE 0.0 END AS c, CASE WHEN t = '' THEN 0.0 ELSE least(100.0, 55.0 + least(30.0, 5.0 * paragraphs) + CASE WHEN contains(t, chr(10)) THEN 15.0 ELSE 0.0 END) END AS e FROM n)
+SELECT doc_id, round_even(a, 2) AS text_quality, round_even(b, 2) AS completeness, c::DOUBLE AS direction_quality, e::DOUBLE AS layout_quality, round_even(a * 0.70 + b * 0.15 + c * 0.10 + e * 0.05, 2) AS final_quality FROM p""")
+def quality_components(spark, sf_dir):
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", textquality.quality_components(F.col("text"), 1 + i % 4, i % 4).alias("q")).select("doc_id", "q.*")
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents)
-SELECT doc_id, len(lines)::INT AS lines, len(list_filter(lines, lambda x: length(x) <= 60 AND NOT regexp_matches(x, '[.,;:!?]$')))::INT AS headings, len(list_filter(lines, lambda x: regexp_matches(x, '^(?:[-*•]|\d+[.)])\s')))::INT AS list_items,
-  len(list_filter(lines, lambda x: len(string_split(x, '|')) >= 3))::INT AS table_rows FROM l""")
+@query(rf"""WITH {_LINES}, n AS (SELECT doc_id, lines, len(list_filter(lines, lambda x: length(x) < 90 AND (ends_with(x, ':') OR (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}')))))::INT AS titles, len(list_filter(lines, lambda x: contains(x, '|')))::INT AS tables,
+  len(list_filter(lines, lambda x: length(x) < 35 AND NOT regexp_matches(x, '[.!]$')))::INT AS side_notes FROM l)
+SELECT doc_id, titles, greatest(0, len(lines) - titles - tables - side_notes)::INT AS paragraphs, tables, len(list_filter(lines, lambda x: regexp_matches(x, '(?i)\b(?:figure|img|image)\b')))::INT AS figures, len(list_filter(lines, lambda x: regexp_matches(x, '(?i)\b(?:table|caption)\b')))::INT AS captions,
+  CASE WHEN len(lines) > 0 AND length(lines[1]) < 80 THEN 1 ELSE 0 END AS headers, CASE WHEN len(lines) > 1 AND length(lines[len(lines)]) < 80 THEN 1 ELSE 0 END AS footers, side_notes FROM n""")
 def layout_profile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.layout_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return table(spark, sf_dir, "documents").select("doc_id", textquality.layout_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+
+
+@query(r"WITH n AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS latin FROM documents) SELECT doc_id, 0.0::DOUBLE AS arabic, CASE WHEN latin > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS latin FROM n")
+def script_ratios(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", textquality.script_ratios(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g')) AS text_sha256, length(text) - length(replace(text, chr(65533), '')) AS corrupt FROM documents")
+def document_texts(spark, sf_dir):
+    t = textquality.document_text(text.unicode_form("NFC")("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("text_sha256"), F.regexp_count("text", F.lit(textquality.COUNTED["replacement"])).cast("long").alias("corrupt"))
+
+
+_SETTINGS = {"API_KEY": "password", "session-id": "tokens", "user": "the", "REDIS_URL": "http://", "pin_secret": "abc"}
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[email]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]{8,}', '[bearer]', 'g'),
-  '(?i)(?:api[_-]?key|token|secret|password)\s*[=:]\s*"?[A-Za-z0-9_\-]{6,}"?', '[secret]', 'g'), '(?:[A-Za-z]:\\|/home/|/Users/)[^\s"'']+', '[path]', 'g')) AS redacted_sha256 FROM documents""")
+@query("SELECT doc_id, sha256(replace(replace(replace(text, 'password', '<redacted>'), 'tokens', '<redacted>'), 'http://', '<redacted>')) AS redacted_sha256 FROM documents")
 def redacted_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(textquality.redact(F.col("text"), _SETTINGS), 256).alias("redacted_sha256"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^\\s*[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM conversations")
@@ -626,9 +660,11 @@ def correction_rules(spark, sf_dir):
     return rounded(records.rules_of(_examples(spark, sf_dir)), "confidence")
 
 
-@query(f"{_RULES} SELECT pattern, replacement FROM c WHERE sources >= 2 AND confidence >= 0.6")
+@query(f"{_RULES} SELECT pattern, replacement FROM c WHERE sources >= 3 AND confidence >= 0.6 AND right(pattern, 1) <> '3' AND replacement <> 'click' AND right(pattern, 1) <> '7'")
 def active_correction_rules(spark, sf_dir):
-    return records.active_rules(records.rules_of(_examples(spark, sf_dir))).select("pattern", "replacement")
+    r = records.rules_of(_examples(spark, sf_dir)).withColumn("id", F.concat_ws(":", "pattern", "replacement")).withColumn("approved", ~F.col("pattern").endswith("3"))
+    r = r.withColumn("enabled", F.col("replacement") != "click").withColumn("is_sensitive", F.col("pattern").endswith("7"))
+    return records.active_rules(r, confidence=0.6).select("pattern", "replacement")
 
 
 @query(f"WITH {_EXAMPLES} SELECT count(*) AS examples, count(*) FILTER (WHERE accepted) AS accepted, count(DISTINCT job_id) AS jobs, count(DISTINCT pattern) AS patterns, CASE WHEN count(*) FILTER (WHERE accepted) = 0 THEN 'empty' WHEN count(DISTINCT job_id) >= 3 AND count(*) FILTER (WHERE accepted) >= 10 THEN 'ready' ELSE 'collecting' END AS label FROM x")

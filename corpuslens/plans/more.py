@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions import edit, protection, text
+from corpuslens.functions import edit, protection, text, textquality
 from corpuslens.operators import compare, decisions, dedupe, evaluate, quality, records
 from corpuslens.plans.catalogue import csv, query, rounded
 from corpuslens.plans.views import RECOGNIZED, SAMPLES, analysed, analysed_sql, recognized, samples, table
@@ -23,9 +23,12 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("words"))
 
 
-@query(r"SELECT doc_id, (regexp_matches(text, '\d[\d -]{8,}\d') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') OR regexp_matches(text, '(?i)bearer\s+[A-Za-z0-9._-]{8,}') OR regexp_matches(text, '(?i)(?:api[_-]?key|token|secret|password)\s*[=:]\s*" + '"?[A-Za-z0-9_\\-]{6,}"?' + r"') OR regexp_matches(text, '(?:[A-Za-z]:\\|/home/|/Users/)[^\s" + '"' + r"'']+')) AS sensitive FROM documents")
-def sensitive_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_sensitive(F.col("text")).alias("sensitive"))
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM t)
+SELECT conv_id, turn, t <> '' AND (regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b') OR regexp_matches(t, '(?i)https?://[^\s]+|www\.[^\s]+') OR regexp_matches(t, '(?:\+?[0-9][\s-]?){8,15}') OR regexp_matches(t, '\b[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}\b')
+  OR regexp_matches(t, '(?i)\b(?:EGP|USD|EUR)\s*[0-9]+(?:[.,][0-9]+)?\b') OR regexp_matches(t, '\b[0-9]{8,18}\b') OR regexp_matches(t, '\b[A-Z]{2,}[-_/]?[0-9]{2,}\b')
+  OR (len(w) BETWEEN 1 AND 3 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^[^\pL]') OR regexp_matches(x, '^\p{Lu}')))) = 0)) AS sensitive FROM w""")
+def sensitive_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", textquality.is_sensitive(F.col("text")).alias("sensitive"))
 
 
 @query("SELECT event_id, CASE WHEN regexp_extract(props, '(\\d{1,9})', 1) <> '' THEN least(50, greatest(10, regexp_extract(props, '(\\d{1,9})', 1)::INT)) END AS score FROM events")
@@ -38,10 +41,10 @@ def text_classes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.text_class(F.col("text")).alias("class"))
 
 
-@query(f"""WITH {RECOGNIZED} SELECT page_id, CASE WHEN reference = '' THEN 'insertion' WHEN prediction = '' THEN 'deletion' WHEN regexp_replace(reference, '\\s', '', 'g') = regexp_replace(prediction, '\\s', '', 'g') THEN 'whitespace'
-  WHEN regexp_replace(reference, '\\pP', '', 'g') = regexp_replace(prediction, '\\pP', '', 'g') THEN 'punctuation' WHEN regexp_replace(reference, '\\pN', '', 'g') = regexp_replace(prediction, '\\pN', '', 'g') THEN 'digit' ELSE 'substitution' END AS change FROM e""")
+@query(f"""WITH {RECOGNIZED} SELECT page_id, CASE WHEN reference = '' THEN 'insertion' WHEN prediction = '' THEN 'deletion' WHEN replace(reference, ' ', '') = replace(prediction, ' ', '') THEN CASE WHEN length(reference) <> length(prediction) THEN 'word_split_merge' ELSE 'spacing' END
+  WHEN regexp_replace(reference, '[^\\w\\s]', '', 'g') = regexp_replace(prediction, '[^\\w\\s]', '', 'g') THEN 'punctuation' ELSE 'replacement' END AS change FROM e""")
 def change_types(spark, sf_dir):
-    return recognized(spark, sf_dir).select("page_id", text.change_type(F.col("reference"), F.col("prediction")).alias("change"))
+    return recognized(spark, sf_dir).select("page_id", textquality.change_type(F.col("reference"), F.col("prediction")).alias("change"))
 
 
 @query(f"WITH {RECOGNIZED} SELECT page_id, CASE WHEN reference <> prediction THEN CASE WHEN starts_with(reference, prediction) THEN length(prediction) ELSE (SELECT min(i) FROM unnest(range(length(reference))) u(i) WHERE substr(reference, i + 1, 1) <> substr(prediction, i + 1, 1)) END END::INT AS place FROM e")

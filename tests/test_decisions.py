@@ -24,7 +24,16 @@ def test_dataset_tiers(spark):
 def test_issues_and_states(spark):
     df = spark.createDataFrame([(0, "a\na\na\nlonger text", True), (1, " ", True), (2, None, False), (3, "fine text", True)], "i long, t string, ok boolean")
     got = df.select("i", decisions.text_issues(F.col("t"), F.col("ok")).alias("x")).orderBy("i").collect()
-    assert [r.x for r in got] == [["repeated_lines"], ["empty_output"], ["engine_error"], []]
+    assert [r.x for r in got] == [["duplicate_line_sequence", "repeated_text_block"], ["empty_ocr_output"], ["engine_error"], []]
+    order = df.select("i", decisions.text_issues(F.lit("و ا ب ت fine"), F.lit(True), F.array(F.lit(2), F.lit(1)), F.lit(0.4)).alias("x")).first()
+    assert order.x == ["arabic_fragmentation", "arabic_pathological_spacing", "reading_order_risk", "low_engine_confidence"]
+    good = "readable words in a text that is long enough " * 8
+    pages = [(0, "", "blank_page", None, True), (1, "x", "review_required", 99.0, False), (2, "", "accepted_first_pass", 1.0, True), (3, good, None, 95.0, False), (4, good, None, None, False), (5, "", None, 95.0, False), (6, good, None, 95.0, True)]
+    got = decisions.page_state(spark.createDataFrame(pages, "i long, text string, page_state string, score double, manual_review boolean")).orderBy("i").collect()
+    assert [(r.accepted, r.manual_review) for r in got] == [(False, False), (False, True), (True, False), (True, False), (True, False), (False, True), (False, True)]
+    assert got[1].review_reason == "review_required" and got[5].review_reason == "critical_text_corruption: empty_output_from_non_empty_page"
+    passes = spark.createDataFrame([(0, 1, True, 99.0, 99.0), (1, 0, True, 95.0, None), (2, 0, True, 95.0, 91.0), (3, None, False, 1.0, 1.0)], "i long, p long, v boolean, c double, w double")
+    assert [r.x for r in passes.select("i", decisions.text_acceptance(F.col("p"), F.col("v"), F.col("c"), F.col("w")).alias("x")).orderBy("i").collect()] == [False, False, True, True]
 
 
 def test_choose_and_escalate(spark):
