@@ -208,8 +208,11 @@ def test_protection(spark):
     assert values(df, protection.marks_protected(F.col("t"))) == [True, False, False, True, True, False]
     records = column(spark, ['{"split": "train"}', '{"split": 3}', '{"a": {"b": [{"role": "holdout"}]}}', "no json", '{"metadata": "x"}', '{"protected": "maybe"}', None, '{"split": null}'])
     assert values(records, protection.record_protected(F.col("t"))) == [False, True, True, True, True, True, True, False]
-    hidden = column(spark, ["h‍oldout", "hоldout", "hold-out", "train", None])
-    assert values(hidden, protection.obfuscated_marker(F.col("t"))) == [True, True, True, False, False]
+    assert values(records, protection.record_malformed(F.col("t"))) == [False, True, False, True, True, True, True, False]
+    hidden = column(spark, ["h\u200doldout", "h\u043eldout", "hold-out", "train", None, "my h\uff4fldout set", "Evaluation.Only", "no", "\u039fther", ""])
+    assert values(hidden, protection.obfuscated_marker(F.col("t"))) == [True, True, True, False, False, True, True, False, False, False]
+    blocks = column(spark, ['{"note": "benchmarks/x/benchmark_manifest"}', '{"data_split": "my holdout part"}', '{"x": {"y": "bench mark"}}', '{"x": {"y": {"z": "holdout"}}}', "", None, "no json", '{"role": 3}', '{"note": "h\u043eld/out"}', '{"My Role": "protected by x"}'])
+    assert values(blocks, protection.provenance_hides_marker(F.col("t"))) == [False, True, True, False, False, False, True, False, True, True]
 
 
 def test_partitions(spark):
