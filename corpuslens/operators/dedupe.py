@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpuslens.functions import identity
@@ -33,10 +34,10 @@ def canonical_order(failed: Column, *columns: str) -> list[Column]:
 
 
 def exact_groups(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Adds copies (rows with the same key), canonical (smallest order) and is_canonical. Null keys are alone."""
-    w = Window.partitionBy(key)
-    one = F.col(key).isNull()
-    x = df.withColumn("copies", F.when(one, 1).otherwise(F.count("*").over(w))).withColumn("canonical", F.when(one, F.col(order)).otherwise(F.min(order).over(w)))
+    """Adds copies (rows with the same key), canonical (smallest order) and is_canonical. Null keys are alone. Groups are aggregated, not gathered."""
+    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("copies"), F.min(order).alias("canonical")).where("copies > 1")
+    x = df.drop("copies", "canonical").join(groups, F.col(key) == F.col("_key"), "left").drop("_key")
+    x = x.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).withColumn("canonical", F.coalesce("canonical", order))
     return x.withColumn("is_canonical", F.col("canonical") == F.col(order))
 
 
@@ -72,25 +73,26 @@ def classify_duplicates(df: DataFrame) -> DataFrame:
     x = x.withColumn("reason", F.when(copy, reason))
     x = x.withColumn("canonical_id", F.first("sample_id").over(family.orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     x = x.withColumn("state", F.when(F.col("family") == 1, "unique").when(copy, "duplicate").otherwise("canonical"))
-    text = Window.partitionBy("normalized_text_sha256", F.col("state") == "duplicate")
     able = F.col("normalized_text_sha256").isNotNull() & (F.col("state") != "duplicate")
-    x = x.withColumn("hashes", F.size(F.collect_set(F.coalesce("file_sha256", F.lit(""))).over(text))).withColumn("first_row", F.min("row").over(text))
-    x = x.withColumn("text_id", F.min_by("sample_id", "row").over(text))
-    conflict = able & (F.col("hashes") >= 2) & (F.col("row") != F.col("first_row"))
+    hash_ = F.coalesce("file_sha256", F.lit(""))
+    texts = x.where(able).groupBy(F.col("normalized_text_sha256").alias("_text")).agg((F.min(hash_) != F.max(hash_)).alias("differs"), F.min("row").alias("first_row"), F.min_by("sample_id", "row").alias("text_id")).where("differs")
+    x = x.join(texts, F.col("normalized_text_sha256") == F.col("_text"), "left")
+    conflict = able & F.coalesce(F.col("differs") & (F.col("row") != F.col("first_row")), F.lit(False))
     x = x.withColumn("duplicate_state", F.when(conflict, "conflicting_duplicate").otherwise(F.col("state")))
     x = x.withColumn("duplicate_of", F.when(conflict, F.col("text_id")).when(copy, F.col("canonical_id")))
-    return x.drop("family", "canonical_id", "state", "hashes", "first_row", "text_id")
+    return x.drop("family", "canonical_id", "state", "_text", "differs", "first_row", "text_id")
 
 
 def raw_text_conflicts(df: DataFrame) -> DataFrame:
     """Rows of classify_duplicates(): equal raw texts over two or more known file hashes; members whose hash is not the canonical row's conflict."""
     x = df.withColumn("raw", F.when(F.col("text") != "", identity.raw_text_sha256(F.col("text"))))
-    w = Window.partitionBy("raw")
-    x = x.withColumn("known", F.size(F.collect_set("file_sha256").over(w))).withColumn("first_row", F.min("row").over(w))
-    x = x.withColumn("first_hash", F.min_by("file_sha256", "row").over(w)).withColumn("first_id", F.min_by("sample_id", "row").over(w))
-    conflict = F.col("raw").isNotNull() & (F.col("known") >= 2) & (F.col("row") != F.col("first_row")) & ~F.col("file_sha256").eqNullSafe(F.col("first_hash"))
+    texts = x.where("raw IS NOT NULL").groupBy(F.col("raw").alias("_raw")).agg(
+        (F.min("file_sha256") != F.max("file_sha256")).alias("differs"), F.min("row").alias("first_row"), F.min_by(F.struct("file_sha256", "sample_id"), "row").alias("first"),
+    ).where("differs")
+    x = x.join(texts, F.col("raw") == F.col("_raw"), "left")
+    conflict = F.coalesce(F.col("differs") & (F.col("row") != F.col("first_row")) & ~F.col("file_sha256").eqNullSafe(F.col("first.file_sha256")), F.lit(False))
     x = x.withColumn("duplicate_state", F.when(conflict, "conflicting_duplicate").otherwise(F.col("duplicate_state")))
-    return x.withColumn("duplicate_of", F.when(conflict, F.col("first_id")).otherwise(F.col("duplicate_of"))).drop("raw", "known", "first_row", "first_hash", "first_id")
+    return x.withColumn("duplicate_of", F.when(conflict, F.col("first.sample_id")).otherwise(F.col("duplicate_of"))).drop("raw", "_raw", "differs", "first_row", "first")
 
 
 def ordered_pair(a: Column, b: Column) -> Column:
@@ -139,36 +141,61 @@ def _mulmod(a: int, x: np.ndarray) -> np.ndarray:
     return np.where(total >= p, total - p, total)
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _gram_codes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit code of the NGRAM characters from each place on, of code points."""
+    code = np.zeros(max(len(points) - NGRAM + 1, 0), np.uint64)
+    for i in range(NGRAM):
+        code = (code ^ points[i : i + len(code)]) * _STEP
+        code ^= code >> np.uint64(29)
+    return code
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def gram_set(text: str) -> np.ndarray:
+    """The sorted distinct codes of a text's character 4-grams."""
+    return np.unique(_gram_codes(_points(text)))
+
+
 def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value", seed: str = SEED) -> DataFrame:
-    """id, signature (array of PERMUTATIONS longs) and grams (sorted distinct 64-bit hashes of character 4-grams) of normalized texts of at least LEAST_CHARS characters."""
+    """id, signature (array of PERMUTATIONS longs), n (distinct character 4-grams) and same (a digest of their set) of normalized texts of at least LEAST_CHARS characters."""
     params = _permutations(seed)
 
-    @F.pandas_udf("signature array<long>, grams array<long>")
+    @F.pandas_udf("signature array<long>, n int, same string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        signatures, grams, values = [], [], texts.tolist()
+        signatures, sizes, same, values = [], [], [], texts.tolist()
         lo = 0
         while lo < len(values):  # some texts at a time: each distinct gram is hashed and permuted once for them
             hi, size = lo, 0
             while hi < len(values) and (hi == lo or size + len(values[hi]) <= PIECE):
                 size += len(values[hi])
                 hi += 1
-            sets = [{t[i : i + NGRAM] for i in range(len(t) - NGRAM + 1)} for t in values[lo:hi]]
-            known = {g: i for i, g in enumerate(set().union(*sets))}
-            h = np.fromiter(map(_u64, known), np.uint64, len(known))
-            x, at = h % np.uint64(MERSENNE), [np.fromiter((known[g] for g in s), np.int64, len(s)) for s in sets]
-            flat, first = np.concatenate(at), np.cumsum([0, *map(len, at[:-1])])
-            least = np.empty((len(params), len(at)), np.uint64)
+            joined, lengths = "".join(values[lo:hi]), np.array([len(t) for t in values[lo:hi]])
+            ends, count = np.cumsum(lengths), lengths - NGRAM + 1
+            place = np.repeat(ends - lengths, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # where a gram of one text begins
+            _, first, at = np.unique(_gram_codes(_points(joined))[place], return_index=True, return_inverse=True)
+            h = np.fromiter((_u64(joined[p : p + NGRAM]) for p in place[first].tolist()), np.uint64, len(first))
+            x, cuts = h % np.uint64(MERSENNE), np.cumsum(count) - count
+            least = np.empty((len(params), hi - lo), np.uint64)
             for k, (a, b) in enumerate(params):
                 v = _mulmod(a, x) + np.uint64(b)
                 v = np.where(v >= np.uint64(MERSENNE), v - np.uint64(MERSENNE), v)
-                least[k] = np.minimum.reduceat(v[flat], first)
+                least[k] = np.minimum.reduceat(v[at], cuts)
             signatures += list(least.T.astype(np.int64))
-            grams += [np.sort(h[i]).view(np.int64) for i in at]
+            for i, j in zip(cuts.tolist(), (cuts + count).tolist()):
+                own = np.sort(h[np.unique(at[i:j])])
+                sizes.append(len(own))
+                same.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
             lo = hi
-        return pd.DataFrame({"signature": signatures, "grams": grams})
+        return pd.DataFrame({"signature": signatures, "n": sizes, "same": same})
 
     x = df.where(F.length(text) >= LEAST_CHARS).select(F.col(id_).alias("id"), run(text).alias("r"))
-    return x.select("id", "r.signature", "r.grams")
+    return x.select("id", "r.signature", "r.n", "r.same")
 
 
 def band_buckets(signatures: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -190,11 +217,12 @@ def _block_pairs(df: DataFrame, key: list[str], id_: str, *more: str, block: int
 
 
 def _shared(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """The exact Jaccard similarity of pairs (a, b) of sets (same, grams): products of membership matrices, some grams at a time."""
+    """The exact Jaccard similarity of pairs (a, b) of texts (same, value): products of membership matrices, some grams at a time."""
     if not len(pairs):
         return pd.DataFrame({"a": [], "b": [], "jaccard": []})
-    size = np.array([len(g) for g in sets["grams"]])
-    gram, column, times = np.unique(np.concatenate(sets["grams"].to_list()), return_inverse=True, return_counts=True)
+    grams = [gram_set(t) for t in sets["value"]]
+    size = np.array(list(map(len, grams)))
+    _, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
     often = times[column] > 1
     row, column = row[often], (np.cumsum(times > 1) - 1)[column[often]]
@@ -211,46 +239,65 @@ def _shared(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs["a"].to_numpy(), "b": pairs["b"].to_numpy(), "jaccard": both[a, b] / (size[a] + size[b] - both[a, b])})
 
 
-def near_text_pairs(signatures: DataFrame, bands: int = BANDS, cap: int = OWNER_CAP, near: float = NEAR, review: float = REVIEW) -> DataFrame:
-    """All pairs a < b that share a bucket, by exact Jaccard similarity of their grams: near or review.
+@F.pandas_udf(T.DoubleType())
+def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+    def of(a, b):
+        x, y = gram_set(a), gram_set(b)
+        both = np.isin(x, y, assume_unique=True).sum()
+        return both / (len(x) + len(y) - both)
+
+    return pd.Series([of(a, b) for a, b in zip(left, right)], dtype="float64")
+
 
-    Equal sets of grams are compared once, and their pairs are those of their members. A pair of sets is taken in the first band it
-    shares. Pairs of buckets with more than cap sets are compared block by block, the others one by one; none is skipped.
-    The number of pairs grows with the square of a group of copies.
+def near_text_pairs(texts: DataFrame, id_: str = "sample_id", text: str = "value", bands: int = BANDS, cap: int = OWNER_CAP, near: float = NEAR, review: float = REVIEW) -> DataFrame:
+    """Normalized texts of at least LEAST_CHARS characters to pairs a < b, by exact Jaccard similarity of their grams: level near, review or copy.
+
+    Texts of one set of grams are a class, for which its smallest id stands: each other member is a pair 'copy' with it. Representatives that
+    share a bucket are compared: once, in the first band they share; those of buckets of more than cap classes block by block. None is
+    skipped. Rows do not outgrow the texts and the pairs of different ones; expand_copies() unfolds the classes. Signatures are computed once,
+    texts are read again only where a pair needs them.
     """
-    checkpointing(signatures.sparkSession)
+    checkpointing(texts.sparkSession)
     rows = PERMUTATIONS // bands
     keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    known = signatures.withColumn("same", F.sha2(F.array_join(F.transform("grams", lambda g: g.cast("string")), ","), 256))
-    every = known.select("id", "same", keys.alias("keys"), F.size("grams").alias("n")).checkpoint()
-    sets = every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"))
-    x = sets.select("same", "keys", "n", F.posexplode("keys").alias("band", "bucket"))
+    every = minhash_signatures(texts, id_, text).select("id", "same", keys.alias("keys"), "n").checkpoint()
+    sets = every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("rep"))
+    x = sets.select("same", "keys", "n", "rep", F.posexplode("keys").alias("band", "bucket"))
     x = x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
-    pairs = _block_pairs(x, ["band", "bucket"], "same", "keys", "n", "size")
+    pairs = _block_pairs(x, ["band", "bucket"], "same", "keys", "n", "size", "rep")
     before = lambda s: F.slice(f"{s}.keys", F.lit(1), F.col("band"))
     pairs = pairs.where(~F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda e: e))
     pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= review)  # a bound of the similarity
-    pairs = pairs.select(F.col("x.same").alias("a"), F.col("y.same").alias("b"), (F.col("x.size") > cap).alias("many")).checkpoint()
-    used = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    grams = known.select("same", "grams").join(used, "same", "left_semi").dropDuplicates(["same"]).checkpoint()
+    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), (F.col("x.size") > cap).alias("many")).checkpoint()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
+    values = texts.join(used, F.col(id_) == F.col("used"), "left_semi").select(F.col(id_).alias("same"), F.col(text).alias("value")).dropDuplicates(["same"]).checkpoint()
 
-    g = lambda n: grams.select(F.col("same").alias(n), F.col("grams").alias(f"g{n}"))
-    few = pairs.where("NOT many").join(g("a"), "a").join(g("b"), "b")
-    few = few.select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("jaccard"))
+    value = lambda n: values.select(F.col("same").alias(n), F.col("value").alias(f"v{n}"))
+    few = pairs.where("NOT many").join(value("a"), "a").join(value("b"), "b").select("a", "b", _jaccard("va", "vb").alias("jaccard"))
 
     many = pairs.where("many").select("a", "b")
     n = F.lit(max(1, -(-many.select(F.explode(F.array("a", "b")).alias("same")).distinct().count() // GRAM_BLOCK)))
     at = lambda c: F.pmod(F.xxhash64(c), n)
     many = many.select("a", "b", F.least(at("a"), at("b")).alias("i"), F.greatest(at("a"), at("b")).alias("j"))
-    sides = many.select("i", "j", F.explode(F.array("a", "b")).alias("same")).distinct().join(grams, "same").toDF("same", "si", "sj", "grams")
-    many = many.groupBy("i", "j").cogroup(sides.groupBy("si", "sj")).applyInPandas(_shared, "a string, b string, jaccard double")
+    sides = many.select("i", "j", F.explode(F.array("a", "b")).alias("same")).distinct().join(values, "same").toDF("same", "si", "sj", "value")
+    kind = every.schema["id"].dataType.simpleString()
+    many = many.groupBy("i", "j").cogroup(sides.groupBy("si", "sj")).applyInPandas(_shared, f"a {kind}, b {kind}, jaccard double")
+
+    across = few.union(many).where(F.col("jaccard") >= review).select("a", "b", "jaccard", F.when(F.col("jaccard") >= near, "near").otherwise("review").alias("level"))
+    copies = every.select("same", "id").join(sets.where("size > 1").select("same", "rep"), "same").where("id <> rep")
+    return across.union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("level")))
+
 
-    member = lambda n: every.select(F.col("same").alias(n), F.col("id").alias(f"id_{n}"))
-    across = few.union(many).where(F.col("jaccard") >= review).join(member("a"), "a").join(member("b"), "b")
-    across = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
-    copies = _block_pairs(every.select("same", "id").join(sets.where("size > 1").select("same", "size"), "same"), ["same"], "id")
-    x = across.union(copies.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(1.0).alias("jaccard")))
-    return x.select("a", "b", "jaccard", F.when(F.col("jaccard") >= near, "near").when(F.col("jaccard") >= review, "review").alias("level")).where("level IS NOT NULL")
+def expand_copies(found: DataFrame) -> DataFrame:
+    """near_text_pairs() with every pair of the members of its classes, those of one class as near; as many rows as a group of copies has pairs."""
+    copy = F.col("level") == "copy"
+    of = found.where(copy).select(F.col("a").alias("rep"), F.col("b").alias("id"))
+    of = of.union(found.select(F.explode(F.array_compact(F.array("a", F.when(~copy, F.col("b"))))).alias("rep")).distinct().select("rep", F.col("rep").alias("id")))
+    side = lambda n: of.select(F.col("rep").alias(n), F.col("id").alias(f"id_{n}"))
+    across = found.where(~copy).join(side("a"), "a").join(side("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard", "level")
+    size = of.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
+    inside = _block_pairs(of.join(size, "rep"), ["rep"], "id")
+    return across.union(inside.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(1.0).alias("jaccard"), F.lit("near").alias("level")))
 
 
 def skipped_buckets(signatures: DataFrame, bands: int = BANDS, cap: int = OWNER_CAP) -> DataFrame:
@@ -313,6 +360,6 @@ def aspect_bucket(width: Column, height: Column) -> Column:
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows of one key the first; rows without a key stay."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    """Of the rows of one key the first, by an order without ties; rows without a key stay."""
+    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first")), "left").where(F.col("_key").isNotNull() | F.col(key).isNull()).drop("_key", "_first")

@@ -85,7 +85,7 @@ def dup_clusters(spark, sf_dir):
 @query()
 def near_text_pairs(spark, sf_dir):
     s = edit.spread(samples(spark, sf_dir).select("sample_id", "text"), "sample_id", source=table(spark, sf_dir, "documents").select("doc_id")).select("sample_id", text.normalize(text.DEDUPE)("text")["value"].alias("value"))
-    return rounded(dedupe.near_text_pairs(dedupe.minhash_signatures(s)), "jaccard")
+    return rounded(dedupe.near_text_pairs(s), "jaccard")
 
 
 @query()

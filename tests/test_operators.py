@@ -58,16 +58,18 @@ def test_near_text_pairs_of_large_groups(spark, monkeypatch):
     texts = [copy] * 25 + [base + f" {word()}" for _ in range(40)] + [copy + f" {word()}" for _ in range(3)] + [other, other, other + " end"] + [" ".join(word() for _ in range(40)) for _ in range(10)]
     texts += [" ".join(w if rng.random() > 0.04 else word() for w in base.split()) for _ in range(30)]
     rng.shuffle(texts)
-    signed = dedupe.minhash_signatures(spark.createDataFrame([(f"s{i:03}", t) for i, t in enumerate(texts)], "sample_id string, value string"))
-    have = sorted((r.id, r.signature, set(r.grams)) for r in signed.collect())
+    df = spark.createDataFrame([(f"s{i:03}", t) for i, t in enumerate(texts)], "sample_id string, value string")
+    have = sorted((r.id, r.signature, {t[k : k + 4] for t in [texts[int(r.id[1:])]] for k in range(len(t) - 3)}) for r in dedupe.minhash_signatures(df).collect())
     width, want = dedupe.PERMUTATIONS // dedupe.BANDS, []
     for i, (a, x, g) in enumerate(have):
         for b, y, h in have[i + 1 :]:
             if any(x[k : k + width] == y[k : k + width] for k in range(0, len(x), width)) and len(g & h) / len(g | h) >= dedupe.REVIEW:
                 want.append((a, b, round(len(g & h) / len(g | h), 9), "near" if len(g & h) / len(g | h) >= dedupe.NEAR else "review"))
-    got = [(r.a, r.b, round(r.jaccard, 9), r.level) for r in dedupe.near_text_pairs(signed).orderBy("a", "b").collect()]
+    found = dedupe.near_text_pairs(df)
+    assert sorted(r.b for r in found.where("level = 'copy'").collect()) == sorted(f"s{i:03}" for i, t in enumerate(texts) if t in texts[:i])
+    got = [(r.a, r.b, round(r.jaccard, 9), r.level) for r in dedupe.expand_copies(found).orderBy("a", "b").collect()]
     assert got == want and len(want) > 300 + 40 * 39 // 2 and {x[3] for x in want} == {"near", "review"}
-    assert dedupe.near_text_pairs(signed.limit(0)).count() == 0
+    assert dedupe.near_text_pairs(df.limit(0)).count() == 0
 
 
 def test_fingerprints_of_large_buckets(spark):
