@@ -164,11 +164,19 @@ def gram_set(text: str) -> np.ndarray:
 
 def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value", seed: str = SEED) -> DataFrame:
     """id, signature (array of PERMUTATIONS longs), n (distinct character 4-grams) and same (a digest of their set) of normalized texts of at least LEAST_CHARS characters."""
+    return _signed(df, id_, text, seed).where("n IS NOT NULL")
+
+
+def _signed(df: DataFrame, id_: str, text: str, seed: str = SEED) -> DataFrame:
+    """minhash_signatures() with nulls for shorter texts. A filter on them here would be evaluated, with what normalizes the texts, once more below
+    the exchange that spreads the rows."""
     params = _permutations(seed)
 
     @F.pandas_udf("signature array<long>, n int, same string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        signatures, sizes, same, values = [], [], [], texts.tolist()
+        signatures, sizes, same = [], [], []
+        able = np.array([t is not None and len(t) >= LEAST_CHARS for t in texts], bool)
+        values = texts[able].tolist()
         lo = 0
         while lo < len(values):  # some texts at a time: each distinct gram is hashed and permuted once for them
             hi, size = lo, 0
@@ -192,10 +200,12 @@ def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value
                 sizes.append(len(own))
                 same.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
             lo = hi
-        return pd.DataFrame({"signature": signatures, "n": sizes, "same": same})
+        out = pd.DataFrame({"signature": pd.Series([None] * len(texts), dtype=object), "n": pd.Series(pd.NA, range(len(texts)), dtype="Int32"), "same": pd.Series([None] * len(texts), dtype=object)})
+        for at, i in enumerate(np.flatnonzero(able).tolist()):
+            out.at[i, "signature"], out.at[i, "n"], out.at[i, "same"] = signatures[at], sizes[at], same[at]
+        return out
 
-    x = df.where(F.length(text) >= LEAST_CHARS).select(F.col(id_).alias("id"), run(text).alias("r"))
-    return x.select("id", "r.signature", "r.n", "r.same")
+    return df.select(F.col(id_).alias("id"), run(text).alias("r")).select("id", "r.signature", "r.n", "r.same")
 
 
 def band_buckets(signatures: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -260,7 +270,7 @@ def near_text_pairs(texts: DataFrame, id_: str = "sample_id", text: str = "value
     checkpointing(texts.sparkSession)
     rows = PERMUTATIONS // bands
     keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    every = minhash_signatures(texts, id_, text).select("id", "same", keys.alias("keys"), "n").checkpoint()
+    every = _signed(texts, id_, text).select("id", "same", keys.alias("keys"), "n").checkpoint().where("n IS NOT NULL")
     sets = every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("rep"))
     x = sets.select("same", "keys", "n", "rep", F.posexplode("keys").alias("band", "bucket"))
     x = x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
