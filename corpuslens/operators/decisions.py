@@ -106,7 +106,8 @@ def text_issues(t: Column, success: Column, reading_order: Column | None = None,
     """Names of observable defects of a recognized text. reading_order: an array of places; confidence: a validated one, else null."""
     body = textquality.stripped(t)
     lines = textquality.lines_of(F.regexp_replace(body, r"[^\S\n]+", " "))
-    thrice = F.exists(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 3)
+    ordered = F.array_sort(lines)
+    thrice = F.exists(F.zip_with(ordered, F.slice(ordered, 3, F.greatest(F.size(lines), F.lit(1))), lambda x, y: x == y), lambda e: F.coalesce(e, F.lit(False)))
     single = F.size(F.filter(textquality.words_of(body), lambda w: w.rlike(f"^[{textquality.ARABIC}]$")))
     live = success & (body != "")
     rules = [

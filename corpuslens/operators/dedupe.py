@@ -7,6 +7,7 @@ validation_status and a unique row key `row` (long or string) that follows the c
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -115,7 +116,8 @@ def apply_near_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def family_clusters(df: DataFrame) -> DataFrame:
     """Families of classify_duplicates() with more than one id: cluster_id, members (sorted), size."""
-    x = df.groupBy("root").agg(F.array_sort(F.collect_set("sample_id")).alias("members")).where(F.size("members") > 1)
+    many = df.groupBy("root").agg(F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi")).where("lo <> hi").select("root")
+    x = df.join(many, "root", "left_semi").groupBy("root").agg(F.array_sort(F.collect_set("sample_id")).alias("members"))  # the id of a cluster is a digest of its members in order
     return x.select(identity.cluster_id(F.col("members")).alias("cluster_id"), "members", F.size("members").alias("size")).dropDuplicates(["cluster_id"])
 
 
@@ -348,15 +350,22 @@ def adjacent_pages(df: DataFrame) -> DataFrame:
     return x.where("next_page - page_index = 1").select("document_id", F.least("id", "next_id").alias("a"), F.greatest("id", "next_id").alias("b"))
 
 
-def close_codes(df: DataFrame, limit: int = 5, bits: int = 64) -> DataFrame:
-    """Rows (id, code): pairs within a Hamming distance. limit + 1 bands: two codes that close agree in one of them, so none is missed."""
-    width = bits // (limit + 1)
-    part = lambda i: F.shiftrightunsigned(F.col("code"), i * width).bitwiseAND(F.lit((1 << (bits - limit * width if i == limit else width)) - 1))
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("part")) for i in range(limit + 1)])
-    x = df.select("id", "code", F.explode(keys).alias("k")).select("id", "code", "k.band", "k.part")
-    pairs = x.alias("x").join(x.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.code"), F.col("y.code")).alias("distance"))
-    return pairs.where(F.col("distance") <= limit).distinct()
+def close_codes(df: DataFrame, limit: int = 5, bits: int = 64, agree: int = 2) -> DataFrame:
+    """Rows (id, code) to pairs a < b within a Hamming distance, of the smallest id of each code; other rows of a code are pairs with it, at distance 0.
+
+    Codes are cut into limit + agree parts. Two codes that close differ in at most limit of them, so they agree in agree parts at least, and
+    each choice of so many parts is a key: none is missed, and keys are wide enough to tell most other codes apart.
+    """
+    parts = limit + agree
+    cuts = [i * bits // parts for i in range(parts + 1)]
+    part = [F.shiftrightunsigned(F.col("code"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    codes = df.groupBy("code").agg(F.min("id").alias("id"))
+    keys = F.array(*[F.xxhash64(F.lit(i), *[part[k] for k in some]) for i, some in enumerate(itertools.combinations(range(parts), agree))])
+    x = codes.select("id", "code", F.explode(keys).alias("key"))
+    pairs = x.alias("x").join(x.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.code"), F.col("y.code")).alias("distance")).where(F.col("distance") <= limit).distinct()
+    copies = df.select("id", "code").join(codes.select("code", F.col("id").alias("a")), "code").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return pairs.unionByName(copies)
 
 
 def aspect_bucket(width: Column, height: Column) -> Column:

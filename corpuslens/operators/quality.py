@@ -119,14 +119,16 @@ def leaks_by(df: DataFrame, key: Column, kind: str, warn: bool = True, critical:
 
     critical: an aggregate that decides between critical and warning for the crossing groups. df: sample_id, partition.
     """
-    x = df.withColumn("_key", key).where("_key IS NOT NULL").groupBy("_key").agg(
-        F.array_sort(F.collect_set("partition")).alias("partitions"), F.array_sort(F.collect_list("sample_id")).alias("sample_ids"), *([critical.alias("_critical")] if critical is not None else []),
-    )
+    keyed = df.withColumn("_key", key).where("_key IS NOT NULL")
+    x = keyed.groupBy("_key").agg(F.array_sort(F.collect_set("partition")).alias("partitions"), *([critical.alias("_critical")] if critical is not None else []))
     crosses = F.array_contains("partitions", "TRAIN") & F.arrays_overlap("partitions", F.array(F.lit("EVAL"), F.lit("PROTECTED")))
     severity = F.when(crosses, F.when(F.col("_critical"), "critical").otherwise("warning") if critical is not None else F.lit("critical"))
     if warn:
         severity = severity.when(F.size(F.array_remove("partitions", "UNPARTITIONED")) > 1, "warning")
     x = x.withColumn("severity", severity).where("severity IS NOT NULL")
+    # ids are gathered of the groups that are findings only, whose id is a digest of them in order
+    ids = keyed.join(x.select("_key"), "_key", "left_semi").groupBy("_key").agg(F.array_sort(F.collect_list("sample_id")).alias("sample_ids"))
+    x = x.join(ids, "_key")
     return x.select(identity.finding_id(F.lit(kind), F.col("_key"), F.col("sample_ids")).alias("finding_id"), F.lit(kind).alias("kind"), "severity", F.col("_key").alias("canonical_key"), "partitions", "sample_ids")
 
 

@@ -106,7 +106,8 @@ def _codes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", code.alias("code"))
 
 
-@query(f"WITH v AS {_CODE} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.q0, b.q0)) + bit_count(xor(a.q1, b.q1)) + bit_count(xor(a.q2, b.q2)) + bit_count(xor(a.q3, b.q3)) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id AND bit_count(xor(a.q0, b.q0)) + bit_count(xor(a.q1, b.q1)) + bit_count(xor(a.q2, b.q2)) + bit_count(xor(a.q3, b.q3)) <= 7")
+@query(f"""WITH v AS {_CODE}, r AS (SELECT q0, q1, q2, q3, min(vec_id) AS id FROM v GROUP BY ALL), p AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.q0, b.q0)) + bit_count(xor(a.q1, b.q1)) + bit_count(xor(a.q2, b.q2)) + bit_count(xor(a.q3, b.q3)) AS distance FROM r a JOIN r b ON a.id < b.id)
+SELECT a, b, distance FROM p WHERE distance <= 7 UNION ALL SELECT id, vec_id, 0 FROM v JOIN r USING (q0, q1, q2, q3) WHERE vec_id <> id""")
 def hamming_near_pairs(spark, sf_dir):
     return dedupe.close_codes(_codes(spark, sf_dir), limit=7)
 

@@ -195,7 +195,9 @@ def dataset_tiers(spark, sf_dir):
     return decisions.dataset_tier(x).select("sample_id", "tier")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)x^y') THEN 'never' WHEN trim(text, ' ') = '' THEN 'empty_output' ELSE array_to_string(list_filter([CASE WHEN len(list_filter(list_distinct(l), lambda x: len(list_filter(l, lambda y: y = x)) >= 3)) > 0 THEN 'repeated_lines' END], lambda x: x IS NOT NULL), ',') END AS issues FROM (SELECT doc_id, text, list_filter(list_transform(string_split(trim(text, ' '), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents), l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[^\S\n]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM t)
+SELECT doc_id, CASE WHEN t = '' THEN 'empty_ocr_output' ELSE array_to_string(list_filter([CASE WHEN length(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) < 2 THEN 'suspiciously_sparse_output' END, CASE WHEN length(regexp_replace(t, '[^\x{FFFD}\x{E000}-\x{F8FF}\p{Cc}\p{Cf}]+', '', 'g')) - length(regexp_replace(t, '[^\n\t]+', '', 'g')) > 0 THEN 'unicode_corruption' END,
+  CASE WHEN len(list_filter(list_distinct(l), lambda x: len(list_filter(l, lambda y: y = x)) >= 3)) > 0 THEN 'duplicate_line_sequence,repeated_text_block' END], lambda x: x IS NOT NULL), ',') END AS issues FROM l""")
 def text_issues(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", csv(decisions.text_issues(F.col("text"), F.lit(True))).alias("issues"))
 
@@ -234,9 +236,10 @@ def run_config_diff(spark, sf_dir):
     return compare.config_diff(e, e.where("key <> 'click'").unionByName(extra))
 
 
-@query("""WITH b AS (SELECT vec_id AS id, unnest([0, 1, 2, 3]) AS band, unnest([embedding[1] > 0, embedding[2] > 0, embedding[3] > 0, embedding[4] > 0]) AS bit FROM embeddings) SELECT band, bit, count(*) AS n FROM b GROUP BY ALL""")
+@query("SELECT band::INT AS band, bit, count(*) AS n FROM (SELECT unnest(range(len(embedding))) AS band, unnest(list_transform(embedding, lambda v: v > 0)) AS bit FROM embeddings) GROUP BY ALL")
 def sign_histogram(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").select(F.posexplode(F.transform(F.slice("embedding", 1, 4), lambda v: v > 0)).alias("band", "bit"))
+    """Of all components of the vectors."""
+    x = table(spark, sf_dir, "embeddings").select(F.posexplode(F.transform("embedding", lambda v: v > 0)).alias("band", "bit"))
     return x.groupBy("band", "bit").agg(F.count("*").alias("n"))
 
 
@@ -260,7 +263,7 @@ def box_overlap(spark, sf_dir):
 @query("SELECT CAST(o_orderkey % 10 AS BIGINT) AS shard, CASE WHEN o_orderkey % 10 = 3 THEN 'count' WHEN o_orderkey % 10 = 4 THEN 'missing' END AS problem FROM orders WHERE o_orderkey % 10 IN (3, 4) GROUP BY ALL")
 def verified_shards(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("shard"), F.col("o_orderkey").cast("string").alias("sample_id"))
-    index = o.groupBy("shard").agg((F.count("*") + (F.col("shard") == 3).cast("int")).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("sample_id")), "\n"), 256).alias("digest"))
+    index = records.shard_index(o).withColumn("rows", F.col("rows") + (F.col("shard") == 3).cast("int"))
     return records.verify_shards(o.where("shard <> 4"), index)
 
 

@@ -105,9 +105,23 @@ def _schema(df: DataFrame, added: str) -> str:
 
 
 def batch(df: DataFrame, key: str, folded: tuple[Callable, str, str]) -> DataFrame:
-    """The fold over all events of each key, in order of ts and event_id."""
+    """The fold over all events of each key, in order of ts and event_id. A key's events pass through one task, as the fold is sequential, but in
+    Arrow batches with the state carried on: they are never held at once."""
     fold, added, _ = folded
-    return df.groupBy(key).applyInPandas(lambda frame: fold(frame.sort_values(["ts", "event_id"]), None)[0], _schema(df, added))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = [], None
+        for frame in frames:
+            values = frame[key]
+            starts = (values != values.shift()) & ~(values.isna() & values.shift().isna())
+            for _, part in frame.groupby(starts.cumsum(), sort=False):
+                value = part[key].iloc[0]
+                same = bool(now) and (value == now[0] or (pd.isna(value) and pd.isna(now[0])))
+                out, state = fold(part, state if same else None)
+                now = [value]
+                yield out
+
+    return df.repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, _schema(df, added))
 
 
 def stream(df: DataFrame, key: str, folded: tuple[Callable, str, str], idle: str | None = None) -> DataFrame:
