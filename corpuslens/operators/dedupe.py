@@ -261,6 +261,30 @@ def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([of(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+def keyed_texts(texts: DataFrame, id_: str = "sample_id", text: str = "value", bands: int = BANDS) -> DataFrame:
+    """id, same (digest of the set of grams), keys (of the bands) and n (grams) of each text, nulls for short ones."""
+    rows = PERMUTATIONS // bands
+    keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
+    return _signed(texts, id_, text).select("id", "same", keys.alias("keys"), "n")
+
+
+def text_classes(every: DataFrame) -> DataFrame:
+    """The classes of equal sets of keyed_texts(): same, keys, n, size (members) and rep (the smallest id)."""
+    return every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("rep"))
+
+
+def candidate_pairs(sets: DataFrame, cap: int = OWNER_CAP, review: float = REVIEW) -> DataFrame:
+    """Pairs a < b of representatives of text_classes() that share a bucket and whose sizes allow the similarity, each once, in the first
+    band they share; many: the bucket has more than cap classes."""
+    x = sets.select("same", "keys", "n", "rep", F.posexplode("keys").alias("band", "bucket"))
+    x = x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
+    pairs = _block_pairs(x, ["band", "bucket"], "same", "keys", "n", "size", "rep")
+    before = lambda s: F.slice(f"{s}.keys", F.lit(1), F.col("band"))
+    pairs = pairs.where(~F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda e: e))
+    pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= review)  # a bound of the similarity
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), (F.col("x.size") > cap).alias("many"))
+
+
 def near_text_pairs(texts: DataFrame, id_: str = "sample_id", text: str = "value", bands: int = BANDS, cap: int = OWNER_CAP, near: float = NEAR, review: float = REVIEW) -> DataFrame:
     """Normalized texts of at least LEAST_CHARS characters to pairs a < b, by exact Jaccard similarity of their grams: level near, review or copy.
 
@@ -270,17 +294,9 @@ def near_text_pairs(texts: DataFrame, id_: str = "sample_id", text: str = "value
     texts are read again only where a pair needs them.
     """
     checkpointing(texts.sparkSession)
-    rows = PERMUTATIONS // bands
-    keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    every = _signed(texts, id_, text).select("id", "same", keys.alias("keys"), "n").checkpoint().where("n IS NOT NULL")
-    sets = every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("rep"))
-    x = sets.select("same", "keys", "n", "rep", F.posexplode("keys").alias("band", "bucket"))
-    x = x.join(x.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), ["band", "bucket"])
-    pairs = _block_pairs(x, ["band", "bucket"], "same", "keys", "n", "size", "rep")
-    before = lambda s: F.slice(f"{s}.keys", F.lit(1), F.col("band"))
-    pairs = pairs.where(~F.exists(F.zip_with(before("x"), before("y"), lambda a, b: a == b), lambda e: e))
-    pairs = pairs.where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= review)  # a bound of the similarity
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), (F.col("x.size") > cap).alias("many")).checkpoint()
+    every = keyed_texts(texts, id_, text, bands).checkpoint().where("n IS NOT NULL")
+    sets = text_classes(every)
+    pairs = candidate_pairs(sets, cap, review).checkpoint()
     used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
     values = texts.join(used, F.col(id_) == F.col("used"), "left_semi").select(F.col(id_).alias("same"), F.col(text).alias("value")).dropDuplicates(["same"]).checkpoint()
 
