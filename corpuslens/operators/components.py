@@ -20,6 +20,19 @@ def checkpointing(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(there)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of so many bytes for the session, unless it sets its own limit; Spark's default counts rows, and long texts make them of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) == 2**31 - 1:
+        spark.conf.set(key, str(size))
+
+
+def freeing(df: DataFrame) -> DataFrame:
+    """df, a checkpoint: Spark deletes the shuffle files it was computed from when the driver collects its garbage, which is asked for here."""
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def connected_components(memberships: DataFrame) -> DataFrame:
     """memberships (node, signal) to (node, root): root is the smallest node reachable over shared signals.
 

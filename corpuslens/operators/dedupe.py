@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpuslens.functions import identity
-from corpuslens.operators.components import checkpointing, connected_components
+from corpuslens.operators.components import bounded_batches, checkpointing, connected_components, freeing
 
 #: Text signatures; the seed is our own and a parameter of minhash_signatures().
 SEED, MERSENNE, NGRAM, LEAST_CHARS, PERMUTATIONS, BANDS, OWNER_CAP, NEAR, REVIEW = "corpuslens.textdup.v1", 2**61 - 1, 4, 40, 128, 16, 20, 0.85, 0.70
-#: Characters of the texts that are signed together.
-PIECE = 200_000
-#: Rows of a block of a bucket, and texts whose grams are compared at once.
-BLOCK, GRAM_BLOCK = 512, 128
+#: Characters of the texts that are signed together, and distinct grams that a worker remembers with their permuted values (512 bytes each).
+PIECE, KNOWN_GRAMS = 500_000, 1 << 16
+#: Rows of a block of a bucket, texts whose grams are compared at once, and rows of small buckets whose bounds are.
+BLOCK, GRAM_BLOCK, BOUND_BLOCK = 512, 128, 2048
+#: Ids that are broadcast to read the texts of no others; with more, the texts are joined by a shuffle.
+FEW_IDS = 100_000
 #: Hamming limits of the three 64-bit hashes, and of likely pairs.
 CONFIRMED, LIKELY, IMAGE_CAP = (8, 10, 10), 12, 4096
 
@@ -133,10 +136,10 @@ def _permutations(seed: str = SEED) -> list[tuple[int, int]]:
     return out
 
 
-def _mulmod(a: int, x: np.ndarray) -> np.ndarray:
+def _mulmod(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """a * x mod 2**61 - 1 for a, x < 2**61, in halves that fit 64 bits."""
     p, low = np.uint64(MERSENNE), np.uint64((1 << 31) - 1)
-    a_hi, a_lo, x_hi, x_lo = np.uint64(a >> 31), np.uint64(a & ((1 << 31) - 1)), x >> np.uint64(31), x & low
+    a_hi, a_lo, x_hi, x_lo = a >> np.uint64(31), a & low, x >> np.uint64(31), x & low
     mid = a_hi * x_lo + a_lo * x_hi  # < 2**62
     total = (a_hi * x_hi << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a_lo * x_lo
     total = (total & p) + (total >> np.uint64(61))
@@ -164,50 +167,109 @@ def gram_set(text: str) -> np.ndarray:
     return np.unique(_gram_codes(_points(text)))
 
 
+def _permuted(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """a * h + b mod 2**61 - 1."""
+    v = _mulmod(a, h % np.uint64(MERSENNE)) + b
+    return np.where(v >= np.uint64(MERSENNE), v - np.uint64(MERSENNE), v)
+
+
+class _Grams:
+    """Hashes of grams and the upper 32 bits of their permuted values; of grams that several texts may have, kept in a worker until they are too many."""
+
+    def __init__(self, seed: str):
+        self.a, self.b = (np.array(x, np.uint64) for x in zip(*_permutations(seed)))
+        self.at, self.h, self.high = {}, np.empty(0, np.uint64), np.empty((0, PERMUTATIONS), np.uint32)
+
+    def rows(self, codes: np.ndarray, often: np.ndarray, gram) -> np.ndarray:
+        """The rows of distinct codes; often: which are kept; gram(i) gives the characters of the i-th."""
+        rows = np.array([self.at.get(c, -1) for c in codes.tolist()], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(self.at) + len(new) > KNOWN_GRAMS:
+            some = often[new]
+            if len(self.at) + some.sum() > KNOWN_GRAMS:
+                self.at, new = {}, np.arange(len(codes))
+                some = often & (np.cumsum(often) <= KNOWN_GRAMS)
+            new = np.concatenate([new[some], new[~some]])
+            kept = int(some.sum())
+        else:
+            kept = len(new)
+        lo, need = len(self.at), len(self.at) + len(new)
+        if need > len(self.h) or len(self.h) > 2 * max(need, KNOWN_GRAMS):
+            room = max(need, min(2 * need, KNOWN_GRAMS))
+            self.h = np.concatenate([self.h[:lo], np.empty(room - lo, np.uint64)])
+            self.high = np.concatenate([self.high[:lo], np.empty((room - lo, PERMUTATIONS), np.uint32)])
+        rows[new] = np.arange(lo, need)
+        self.at.update(zip(codes[new[:kept]].tolist(), range(lo, lo + kept)))
+        self.h[lo:need] = h = np.fromiter((_u64(gram(i)) for i in new.tolist()), np.uint64, len(new))
+        for k in range(PERMUTATIONS):
+            self.high[lo:need, k] = _permuted(self.a[k], self.b[k], h) >> np.uint64(29)
+        return rows
+
+    def signature(self, rows: np.ndarray) -> np.ndarray:
+        """The least permuted values: by their upper bits, the few that these leave in full."""
+        least = np.full(PERMUTATIONS, MERSENNE, np.uint64)
+        for lo in range(0, len(rows), 8192):
+            some = rows[lo : lo + 8192]
+            high = np.take(self.high, some, axis=0)
+            i, k = np.divmod(np.flatnonzero((high == high.min(axis=0)).ravel()), PERMUTATIONS)
+            np.minimum.at(least, k, _permuted(self.a[k], self.b[k], self.h[some[i]]))
+        return least
+
+
+_known: dict[str, _Grams] = {}
+
+
+def _parts(codes: np.ndarray) -> bytes | None:
+    """How many of a set's codes fall into each of 2**k parts, the power of two from half of the set to all of it; packed. None: more than 254 in one."""
+    k = max(0, len(codes).bit_length() - 1)
+    counts = np.bincount((codes * _STEP >> np.uint64(32)).astype(np.int64) >> (32 - k), minlength=1 << k)
+    if counts.max() > 254:
+        return None
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return pack.compress(counts.astype(np.uint8).tobytes()) + pack.flush()
+
+
 def minhash_signatures(df: DataFrame, id_: str = "sample_id", text: str = "value", seed: str = SEED) -> DataFrame:
     """id, signature (array of PERMUTATIONS longs), n (distinct character 4-grams) and same (a digest of their set) of normalized texts of at least LEAST_CHARS characters."""
-    return _signed(df, id_, text, seed).where("n IS NOT NULL")
+    return _signed(df, id_, text, seed).select("id", "signature", "n", "same").where("n IS NOT NULL")
 
 
 def _signed(df: DataFrame, id_: str, text: str, seed: str = SEED) -> DataFrame:
-    """minhash_signatures() with nulls for shorter texts. A filter on them here would be evaluated, with what normalizes the texts, once more below
-    the exchange that spreads the rows."""
-    params = _permutations(seed)
+    """minhash_signatures() with _parts(), and with nulls for shorter texts. A filter on them here would be evaluated, with what normalizes the texts,
+    once more below the exchange that spreads the rows."""
 
-    @F.pandas_udf("signature array<long>, n int, same string")
+    @F.pandas_udf("signature array<long>, n int, same string, parts binary")
     def run(texts: pd.Series) -> pd.DataFrame:
-        signatures, sizes, same = [], [], []
-        able = np.array([t is not None and len(t) >= LEAST_CHARS for t in texts], bool)
-        values = texts[able].tolist()
-        lo = 0
-        while lo < len(values):  # some texts at a time: each distinct gram is hashed and permuted once for them
+        out = {c: [None] * len(texts) for c in ("signature", "n", "same", "parts")}
+        known = _known[seed] = _known.get(seed) or _Grams(seed)
+        able = [i for i, t in enumerate(texts) if t is not None and len(t) >= LEAST_CHARS]
+        values, lo = texts.tolist(), 0
+        while lo < len(able):  # some texts at a time: each distinct gram is looked up once for them
             hi, size = lo, 0
-            while hi < len(values) and (hi == lo or size + len(values[hi]) <= PIECE):
-                size += len(values[hi])
+            while hi < len(able) and (hi == lo or size + len(values[able[hi]]) <= PIECE):
+                size += len(values[able[hi]])
                 hi += 1
-            joined, lengths = "".join(values[lo:hi]), np.array([len(t) for t in values[lo:hi]])
-            ends, count = np.cumsum(lengths), lengths - NGRAM + 1
-            place = np.repeat(ends - lengths, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # where a gram of one text begins
-            _, first, at = np.unique(_gram_codes(_points(joined))[place], return_index=True, return_inverse=True)
-            h = np.fromiter((_u64(joined[p : p + NGRAM]) for p in place[first].tolist()), np.uint64, len(first))
-            x, cuts = h % np.uint64(MERSENNE), np.cumsum(count) - count
-            least = np.empty((len(params), hi - lo), np.uint64)
-            for k, (a, b) in enumerate(params):
-                v = _mulmod(a, x) + np.uint64(b)
-                v = np.where(v >= np.uint64(MERSENNE), v - np.uint64(MERSENNE), v)
-                least[k] = np.minimum.reduceat(v[at], cuts)
-            signatures += list(least.T.astype(np.int64))
-            for i, j in zip(cuts.tolist(), (cuts + count).tolist()):
-                own = np.sort(h[np.unique(at[i:j])])
-                sizes.append(len(own))
-                same.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
+            joined, lengths = "".join(values[i] for i in able[lo:hi]), np.array([len(values[i]) for i in able[lo:hi]])
+            ends, every = np.cumsum(lengths), _gram_codes(_points(joined))
+            inside = np.ones(len(every), bool)  # where a gram of one text begins
+            for back in range(1, NGRAM):
+                inside[ends[:-1] - back] = False
+            place, count = np.flatnonzero(inside), lengths - NGRAM + 1
+            at, codes = pd.factorize(every[place])
+            first = np.empty(len(codes), np.int64)
+            first[at[::-1]] = place[::-1]
+            mark = np.zeros(len(codes), bool)
+            rows, cuts = known.rows(codes, np.bincount(at) > 1, lambda i: joined[first[i] : first[i] + NGRAM]), np.cumsum(count) - count
+            for i, x, y in zip(able[lo:hi], cuts.tolist(), (cuts + count).tolist()):
+                mark[at[x:y]] = True
+                own = np.flatnonzero(mark)
+                mark[own] = False
+                out["signature"][i], out["n"][i], out["parts"][i] = known.signature(rows[own]).astype(np.int64), len(own), _parts(codes[own])
+                out["same"][i] = hashlib.blake2b(np.sort(known.h[rows[own]]).tobytes(), digest_size=16).hexdigest()
             lo = hi
-        out = pd.DataFrame({"signature": pd.Series([None] * len(texts), dtype=object), "n": pd.Series(pd.NA, range(len(texts)), dtype="Int32"), "same": pd.Series([None] * len(texts), dtype=object)})
-        for at, i in enumerate(np.flatnonzero(able).tolist()):
-            out.at[i, "signature"], out.at[i, "n"], out.at[i, "same"] = signatures[at], sizes[at], same[at]
-        return out
+        return pd.DataFrame({c: pd.Series(x, dtype="Int32" if c == "n" else object) for c, x in out.items()})
 
-    return df.select(F.col(id_).alias("id"), run(text).alias("r")).select("id", "r.signature", "r.n", "r.same")
+    return df.select(F.col(id_).alias("id"), run(text).alias("r")).select("id", "r.signature", "r.n", "r.same", "r.parts")
 
 
 def band_buckets(signatures: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -228,49 +290,96 @@ def _block_pairs(df: DataFrame, key: list[str], id_: str, *more: str, block: int
     return left.join(right, [*key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"x.{id_}") < F.col(f"y.{id_}"))).drop("i", "j")
 
 
-def _shared(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """The exact Jaccard similarity of pairs (a, b) of texts (same, value): products of membership matrices, some grams at a time."""
-    if not len(pairs):
-        return pd.DataFrame({"a": [], "b": [], "jaccard": []})
-    grams = [gram_set(t) for t in sets["value"]]
-    size = np.array(list(map(len, grams)))
-    _, column, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    often = times[column] > 1
-    row, column = row[often], (np.cumsum(times > 1) - 1)[column[often]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both, width = np.zeros((len(sets), len(sets))), 8192
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        of = slice(*np.searchsorted(column, [lo, lo + width]))
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[of], column[of] - lo] = 1
-        both += m @ m.T
-    at = pd.Series(np.arange(len(sets)), sets["same"])
-    a, b = at[pairs["a"]].to_numpy(), at[pairs["b"]].to_numpy()
-    return pd.DataFrame({"a": pairs["a"].to_numpy(), "b": pairs["b"].to_numpy(), "jaccard": both[a, b] / (size[a] + size[b] - both[a, b])})
-
-
-@F.pandas_udf(T.DoubleType())
-def _jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-    def of(a, b):
-        x, y = gram_set(a), gram_set(b)
-        both = np.isin(x, y, assume_unique=True).sum()
-        return both / (len(x) + len(y) - both)
-
-    return pd.Series([of(a, b) for a, b in zip(left, right)], dtype="float64")
+def _met(rows: pd.DataFrame):
+    """(one row, later rows) of rows (bucket, at, id, n, keys up to the bucket's band, i, j) of whole buckets or of two blocks each: those of different ids that this bucket is
+    the first to bring together, and of different blocks if these are two."""
+    rows = rows.drop_duplicates(["bucket", "id"])
+    rows = rows.iloc[np.argsort(rows["bucket"].to_numpy(), kind="stable")]
+    bucket, at, n = rows["bucket"].to_numpy(), rows["at"].to_numpy(), rows["n"].to_numpy()
+    keys = np.zeros((len(rows), int(bucket[-1] >> 32) + 1), np.int32)
+    keys[np.arange(keys.shape[1]) <= (bucket >> 32)[:, None]] = np.concatenate(rows["keys"].to_numpy())
+    within, cuts = (rows["i"] == rows["j"]).to_numpy(), np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    pairs = lambda review: (
+        (x, later[new & (np.minimum(n[later], n[x]) >= review * np.maximum(n[later], n[x]) * (1 - 1e-9))])  # a bound of the similarity
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for band in [int(bucket[lo] >> 32)] for x in range(lo, hi - 1) for later in [np.arange(x + 1, hi)]
+        for new in [(keys[later, band] == keys[x, band]) & ~(keys[later, :band] == keys[x, :band]).any(axis=1) & (within[x] | (at[later] != at[x]))]
+    )
+    return rows, pairs
+
+
+def _possible(review: float):
+    """Rows of buckets to those that a pair may be similar of: texts share no more grams than the smaller counts of their parts add up to."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = _met(rows)
+        n, used = rows["n"].to_numpy().astype(np.int64), np.zeros(len(rows), bool)
+        parts = [None if p is None else np.frombuffer(zlib.decompress(p, -15), np.uint8) for p in rows["parts"]]
+        width, bucket, now, table = np.array([0 if p is None else len(p) for p in parts]), rows["bucket"].to_numpy(), None, {}
+        for x, later in pairs(review):
+            if not len(later):
+                continue
+            if bucket[x] != now:
+                now, table, lo = bucket[x], {}, x
+                hi = lo + int(np.searchsorted(bucket[lo:], now, "right"))
+            both = n[later].copy()  # if there are no counts
+            for size in np.unique(least := np.minimum(width[later], width[x])).tolist():
+                if not size:
+                    continue
+                if size not in table:  # the counts of the bucket's texts in so many parts
+                    table[size] = np.zeros((hi - lo, size), np.float32)
+                    for y in range(lo, hi):
+                        if width[y] >= size:
+                            table[size][y - lo] = parts[y].reshape(size, -1).sum(axis=1) if width[y] > size else parts[y]
+                some = least == size
+                both[some] = np.ceil(np.minimum(table[size][later[some] - lo], table[size][x - lo]) @ np.ones(size, np.float32) * (1 + 1e-5))
+            may = later[both >= review * (n[later] + n[x] - both) * (1 - 1e-9)]
+            used[may] = True
+            used[x] |= len(may) > 0
+        return rows.loc[used, ["g", "i", "j", "bucket", "at", "id", "n", "keys"]]
+
+    return run
+
+
+def _similar(review: float):
+    """Rows of buckets with texts (value, packed) to the pairs a < b of the exact Jaccard similarity of their grams."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, pairs = _met(rows)
+        number, ids = pd.factorize(rows["id"])
+        sets = [gram_set(zlib.decompress(v).decode("utf-8", "surrogatepass")) for v in rows["value"].to_numpy()[~rows["id"].duplicated().to_numpy()]]
+        size = np.array(list(map(len, sets)))
+        grams, distinct = pd.factorize(np.concatenate(sets))
+        sets, mark, found = np.split(grams.astype(np.int32), np.cumsum(size)[:-1]), np.zeros(len(distinct), np.uint8), []
+        for x, later in pairs(review):
+            if not len(later):
+                continue
+            a, others = number[x], number[later]
+            mark[sets[a]] = 1
+            for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(size[others]) >> 20)) + 1):  # about a million grams at once
+                both = np.add.reduceat(mark[np.concatenate([sets[b] for b in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+                alike = both / (size[a] + size[some] - both)
+                found += [(ids[a], ids[b], j) if ids[a] < ids[b] else (ids[b], ids[a], j) for b, j in zip(some[alike >= review].tolist(), alike[alike >= review].tolist())]
+            mark[sets[a]] = 0
+        return pd.DataFrame(found, columns=["a", "b", "jaccard"])
+
+    return run
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1))
 
 
 def keyed_texts(texts: DataFrame, id_: str = "sample_id", text: str = "value", bands: int = BANDS) -> DataFrame:
-    """id, same (digest of the set of grams), keys (of the bands) and n (grams) of each text, nulls for short ones."""
+    """id, same (digest of the set of grams), keys (of the bands), n (grams) and parts of each text, nulls for short ones."""
     rows = PERMUTATIONS // bands
     keys = F.array(*[F.xxhash64(F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
-    return _signed(texts, id_, text).select("id", "same", keys.alias("keys"), "n")
+    return _signed(texts, id_, text).select("id", "same", keys.alias("keys"), "n", "parts")
 
 
 def text_classes(every: DataFrame) -> DataFrame:
-    """The classes of equal sets of keyed_texts(): same, keys, n, size (members) and rep (the smallest id)."""
-    return every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("rep"))
+    """The classes of equal sets of keyed_texts(): same, keys, n, parts, size (members) and rep (the smallest id)."""
+    return every.groupBy("same").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.count("*").alias("size"), F.min("id").alias("rep"))
 
 
 def candidate_pairs(sets: DataFrame, cap: int = OWNER_CAP, review: float = REVIEW) -> DataFrame:
@@ -289,30 +398,37 @@ def near_text_pairs(texts: DataFrame, id_: str = "sample_id", text: str = "value
     """Normalized texts of at least LEAST_CHARS characters to pairs a < b, by exact Jaccard similarity of their grams: level near, review or copy.
 
     Texts of one set of grams are a class, for which its smallest id stands: each other member is a pair 'copy' with it. Representatives that
-    share a bucket are compared: once, in the first band they share; those of buckets of more than cap classes block by block. None is
-    skipped. Rows do not outgrow the texts and the pairs of different ones; expand_copies() unfolds the classes. Signatures are computed once,
-    texts are read again only where a pair needs them.
+    share a bucket are compared: once, in the first band they share; those of buckets of more than BLOCK classes block by block. None is
+    skipped. No pair is stored before it is known to be similar: a bucket first gets counts that bound the similarities, then the texts, packed, of the
+    members that a pair may be similar of. So what is stored grows with the texts and the buckets they are in. expand_copies() unfolds the
+    classes. Buckets of at most cap classes are put together. Signatures are computed once, texts are read again only where a pair needs them.
     """
     checkpointing(texts.sparkSession)
-    every = keyed_texts(texts, id_, text, bands).checkpoint().where("n IS NOT NULL")
-    sets = text_classes(every)
-    pairs = candidate_pairs(sets, cap, review).checkpoint()
-    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
-    values = texts.join(used, F.col(id_) == F.col("used"), "left_semi").select(F.col(id_).alias("same"), F.col(text).alias("value")).dropDuplicates(["same"]).checkpoint()
-
-    value = lambda n: values.select(F.col("same").alias(n), F.col("value").alias(f"v{n}"))
-    few = pairs.where("NOT many").join(value("a"), "a").join(value("b"), "b").select("a", "b", _jaccard("va", "vb").alias("jaccard"))
-
-    many = pairs.where("many").select("a", "b")
-    n = F.lit(max(1, -(-many.select(F.explode(F.array("a", "b")).alias("same")).distinct().count() // GRAM_BLOCK)))
-    at = lambda c: F.pmod(F.xxhash64(c), n)
-    many = many.select("a", "b", F.least(at("a"), at("b")).alias("i"), F.greatest(at("a"), at("b")).alias("j"))
-    sides = many.select("i", "j", F.explode(F.array("a", "b")).alias("same")).distinct().join(values, "same").toDF("same", "si", "sj", "value")
+    bounded_batches(texts.sparkSession)
+    every = freeing(keyed_texts(texts, id_, text, bands).checkpoint()).where("n IS NOT NULL")
     kind = every.schema["id"].dataType.simpleString()
-    many = many.groupBy("i", "j").cogroup(sides.groupBy("si", "sj")).applyInPandas(_shared, f"a {kind}, b {kind}, jaccard double")
-
-    across = few.union(many).where(F.col("jaccard") >= review).select("a", "b", "jaccard", F.when(F.col("jaccard") >= near, "near").otherwise("review").alias("level"))
-    copies = every.select("same", "id").join(sets.where("size > 1").select("same", "rep"), "same").where("id <> rep")
+    keys = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
+    sets = freeing(text_classes(every).select("same", "size", F.col("rep").alias("id"), "n", keys.alias("keys"), "parts").checkpoint())
+
+    no = F.xxhash64("id").alias("no")  # narrow; a collision adds rows to a bucket, which their keys tell apart
+    x = sets.select(no, F.posexplode("keys").alias("band", "key")).select("no", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
+    met = freeing(x.join(x.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1"), "bucket").checkpoint())
+    groups = lambda n: F.when(F.col("met") <= cap, -1 - F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-met.count() // n))))).otherwise(F.col("bucket"))
+    blocks = F.ceil(F.col("met") / BLOCK).cast("int")
+    rows = met.join(sets.select(no, "id", "n", "keys", "parts"), "no").select(groups(BOUND_BLOCK).alias("g"), "bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "id", "n", F.slice("keys", F.lit(1), F.shiftright("bucket", 32).cast("int") + 1).alias("keys"), "parts")
+    rows = rows.select("g", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "bucket", "at", "id", "n", "keys", "parts")
+    open_ = freeing(rows.groupBy("g", "i", "j").applyInPandas(_possible(review), f"g long, i int, j int, bucket long, at int, id {kind}, n int, keys array<int>").checkpoint())
+
+    used, values = open_.select(F.col("id").alias("used")).distinct(), texts.select(F.col(id_).alias("same"), F.col(text).alias("value"))
+    if used.count() <= FEW_IDS:
+        values = values.join(F.broadcast(used), F.col("same") == F.col("used"), "left_semi")
+    values = values.select("same", _packed("value").alias("value"))
+    bins = F.lit(max(1, -(-open_.where("g < 0").count() // GRAM_BLOCK)))
+    open_ = open_.withColumn("g", F.when(F.col("g") < 0, -1 - F.pmod(F.xxhash64("bucket"), bins)).otherwise(F.col("g")))
+    across = open_.join(values, F.col("id") == F.col("same")).drop("same").groupBy("g", "i", "j").applyInPandas(_similar(review), f"a {kind}, b {kind}, jaccard double")
+
+    across = across.select("a", "b", "jaccard", F.when(F.col("jaccard") >= near, "near").otherwise("review").alias("level"))
+    copies = every.select("same", "id").join(sets.where("size > 1").select("same", F.col("id").alias("rep")), "same").where("id <> rep")
     return across.union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("level")))
 
 

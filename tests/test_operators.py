@@ -72,6 +72,42 @@ def test_near_text_pairs_of_large_groups(spark, monkeypatch):
     assert dedupe.near_text_pairs(df.limit(0)).count() == 0
 
 
+def test_near_text_pairs_store_less_than_a_copy_of_the_texts_per_pair(spark, monkeypatch):
+    """60 unlike texts that share all buckets: what is stored grows with the texts, not with their 1770 candidates."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    alike = [word() for _ in range(300)]
+    texts = [" ".join(word() for _ in range(300)) for _ in range(58)] + [" ".join(alike), " ".join(alike[:299] + [word()])]
+    df = spark.createDataFrame([(f"s{i:03}", t) for i, t in enumerate(texts)], "sample_id string, value string")
+    real, checkpoint, stored = dedupe.keyed_texts, type(df).checkpoint, []
+    monkeypatch.setattr(dedupe, "keyed_texts", lambda *a: real(*a).withColumn("keys", F.array(*[F.lit(7).cast("long")] * dedupe.BANDS)))
+
+    def counted(self, *a, **b):
+        stored.append((out := checkpoint(self, *a, **b)).count())
+        return out
+
+    monkeypatch.setattr(type(df), "checkpoint", counted)
+    grams = [{t[k : k + 4] for k in range(len(t) - 3)} for t in texts]
+    assert [(r.a, r.b, round(r.jaccard, 9), r.level) for r in dedupe.near_text_pairs(df).collect()] == [("s058", "s059", round(len(grams[58] & grams[59]) / len(grams[58] | grams[59]), 9), "near")]
+    assert max(stored) <= 60 * dedupe.BANDS and stored[-1] == 2
+
+
+def test_forgotten_grams_change_no_signature(monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh\u4e00\u0644", k=80)) for _ in range(40)]
+    known = dedupe._Grams(dedupe.SEED)
+    monkeypatch.setattr(dedupe, "KNOWN_GRAMS", 100)
+    for t in texts:
+        codes = dedupe.gram_set(t)
+        at = {int(c): t[k : k + 4] for k, c in enumerate(dedupe._gram_codes(dedupe._points(t)).tolist())}
+        got = known.signature(known.rows(codes, codes % 2 == 0, lambda i: at[int(codes[i])]))
+        assert got.tolist() == [min((a * dedupe._u64(g) + b) % dedupe.MERSENNE for g in at.values()) for a, b in dedupe._permutations()] and len(known.at) <= 100
+
+
 def test_fingerprints_of_large_buckets(spark):
     df = spark.range(30).selectExpr("id", "id AS phash", "id * 7 AS dhash", "0L AS ahash", "'1:1' AS aspect")
     got = [(r.a, r.b) for r in dedupe.fingerprint_pairs(df, cap=4).orderBy("a", "b").collect()]
